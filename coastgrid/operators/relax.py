@@ -54,7 +54,7 @@ def forcing_tendency(
     return (
         forcing.join(state.select(*on, "field"), list(on))
         .join(geometry.select(*cell, "area_x", "area_y", "volume"), list(cell))
-        .select(*on, F.coalesce(term, F.lit(0.0)).alias("tendency"))
+        .select(*on, (F.lit(0.0) + F.coalesce(term, F.lit(0.0))).alias("tendency"))
     )
 
 

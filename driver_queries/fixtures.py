@@ -402,7 +402,7 @@ forcing AS (
   SELECT grid_id, nx, ny, CAST(6 AS INT) AS nz, nx + face AS ni, ny AS nj, variable, loc,
          TIMESTAMP '1994-12-31 12:00:00' + day * INTERVAL 1 DAY AS ts, k, j, i,
          CASE WHEN wet THEN (i * 7 + j * 11 + k * 13 + day + seed) % 50 / 1e1 END AS value,
-         CASE WHEN wet AND j - 1 < 5 THEN (1e0 / 864e2) * (5 - (j - 1)) / 5 ELSE 0e0 END AS lambda
+         CASE WHEN wet AND j - 1 < 5 THEN (1e0 / 864e2) * (5 - (j - 1)) / 5 ELSE 0e0 END AS "lambda"
   FROM (SELECT grid_id, nx, ny, i, j, k, wet, 0 AS face, 'T' AS variable, 'ccc' AS loc, 0 AS seed FROM tmask
         UNION ALL SELECT grid_id, nx, ny, i, j, k, wet, 1, 'u', 'fcc', 3 FROM umask)
   CROSS JOIN generate_series(1, 2) AS d(day))"""

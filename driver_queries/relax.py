@@ -23,7 +23,7 @@ def _lambda(edge):
 
 def _lambda_sql(away):
     return f"""WITH {fx.D_FACES}
-SELECT grid_id, i, j, k, CASE WHEN wet AND {away} < 5 THEN round((1e0 / 864e2) * (5 - ({away})) / 5, 12) ELSE 0e0 END AS lambda FROM umask"""
+SELECT grid_id, i, j, k, CASE WHEN wet AND {away} < 5 THEN round((1e0 / 864e2) * (5 - ({away})) / 5, 12) ELSE 0e0 END AS "lambda" FROM umask"""
 
 
 def snapped(spark, sf, radius=3):
@@ -97,7 +97,7 @@ D_UPSERT = f"""{D_SNAP}, {fx.D_FORCING.replace(fx.D_FACES + ',', '')}, {D_SERIES
 own AS (SELECT grid_id, i, j, arg_max(river_id, position) AS river_id FROM snap WHERE reason IS NULL GROUP BY 1, 2, 3)"""
 R5_SQL = f"""WITH {D_UPSERT}
 SELECT f.grid_id, f.variable, f.ts, f.k, f.j, f.i, CASE WHEN s.river_id IS NOT NULL THEN s.value ELSE f.value END AS value,
-       round(CASE WHEN s.river_id IS NOT NULL THEN 1 / 36e2 ELSE lambda END, 10) AS lambda
+       round(CASE WHEN s.river_id IS NOT NULL THEN 1 / 36e2 ELSE f."lambda" END, 10) AS "lambda"
 FROM forcing f LEFT JOIN own o ON o.grid_id = f.grid_id AND o.i = f.i AND o.j = f.j AND f.k = 6
 LEFT JOIN series s ON s.river_id = o.river_id AND s.variable = f.variable AND s.ts = f.ts"""
 
@@ -139,10 +139,10 @@ def r7_forcing_tendency(spark, sf):
 
 
 R7_SQL = f"""WITH {fx.D_FORCING},
-f AS (SELECT *, CASE (i + j) % 5 WHEN 0 THEN 25e-1 WHEN 1 THEN -25e-1 WHEN 2 THEN 1e0 ELSE lambda END AS l, (i + j + k) % 20 / 2e0 AS field FROM forcing)
+f AS (SELECT *, CASE (i + j) % 5 WHEN 0 THEN 25e-1 WHEN 1 THEN -25e-1 WHEN 2 THEN 1e0 ELSE "lambda" END AS l, (i + j + k) % 20 / 2e0 AS field FROM forcing)
 SELECT grid_id, variable, ts, i, j, k,
        round(coalesce(CASE WHEN l > 1 THEN value * k * 100 / (k * 1000e0 + j) WHEN l < -1 THEN value * k * 50 / (k * 1000e0 + j)
-                  WHEN abs(l) < 1 THEN -l * (field - value) END, 0e0), 8) AS tendency FROM f"""
+                  WHEN abs(l) < 1 THEN -l * (field - value) END, 0e0), 8) + 0e0 AS tendency FROM f"""
 
 
 def _boundary(edge):

@@ -158,7 +158,7 @@ def k2_write_forcing(spark, sf):
 
 K2_SQL = f"""WITH {fx.D_FORCING}
 SELECT grid_id, variable, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, ts, k, j, i,
-       CAST(CAST(value AS FLOAT) AS DOUBLE) AS value, CAST(CAST(lambda AS FLOAT) AS DOUBLE) AS lambda FROM forcing"""
+       CAST(CAST(value AS FLOAT) AS DOUBLE) AS value, CAST(CAST("lambda" AS FLOAT) AS DOUBLE) AS "lambda" FROM forcing"""
 
 
 def event_field(spark, sf):

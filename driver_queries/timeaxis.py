@@ -228,12 +228,22 @@ T12_SQL = f"WITH {D_FORECAST} SELECT series, year, month, run_ts FROM fr"
 
 
 def t12_month_hours(spark, sf):
-    return timeaxis.month_hours(_months(spark, sf), ["series"]).select("series", "ts", "run_ts", "lead_h")
+    """Every hour of every month, summed up: as many hours as distinct ones, first to last."""
+    hours = timeaxis.month_hours(_months(spark, sf), ["series"])
+    return hours.groupBy("series", "year", "month").agg(
+        F.count(F.lit(1)).alias("hours"),
+        F.count_distinct("ts").alias("distinct_hours"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.sum("lead_h").alias("leads"),
+    )
 
 
 T12_HOURS_SQL = f"""WITH {D_FORECAST}
-SELECT series, run_ts + l * INTERVAL 1 HOUR AS ts, run_ts, CAST(l AS INT) AS lead_h
-FROM fr, generate_series(4, 9) AS g(l) WHERE date_trunc('month', run_ts + l * INTERVAL 1 HOUR) = make_date(year, month, 1)"""
+SELECT series, year, month, count(*) AS hours, count(DISTINCT ts) AS distinct_hours, min(ts) AS first_ts, max(ts) AS last_ts,
+       CAST(sum(l) AS BIGINT) AS leads
+FROM (SELECT series, year, month, l, run_ts + l * INTERVAL 1 HOUR AS ts FROM fr, generate_series(4, 9) AS g(l))
+WHERE date_trunc('month', ts) = make_date(year, month, 1) GROUP BY 1, 2, 3"""
 
 
 def t13_select_leads(spark, sf):
