@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coastgrid.errors import require
-from coastgrid.functions.columns import check_edge, finite
+from coastgrid.errors import ValidationError, require
+from coastgrid.functions.columns import check_edge, finite, raise_if_any
 from coastgrid.functions.tiles import with_neighbours
 
 # Fixed value: least wet fraction of a partial bottom cell.
@@ -192,3 +192,10 @@ def validity(df: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
 def level_validity(valid: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
     """Whether a level has any valid cell."""
     return valid.groupBy(*keys, "lev").agg(F.bool_or("valid").alias("level_valid"))
+
+
+def require_valid_source(valid: DataFrame, keys: Sequence[str] = ("dataset",)) -> None:
+    """Every dataset needs a valid cell, or there is nothing to fill from."""
+    empty = valid.groupBy(*keys).agg(F.bool_or("valid").alias("_any")).filter(~F.col("_any"))
+    name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    raise_if_any(empty, F.format_string("source %s has no valid cell in the requested region", name), ValidationError)

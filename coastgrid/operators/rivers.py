@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coastgrid.errors import MissingRecordError, require
 from coastgrid.functions.columns import raise_if_any
+from coastgrid.operators.grid import center
 
 # Cells searched for a coastal cell, and the offset of source river numbers.
 SEARCH_RADIUS = 10
@@ -56,13 +57,13 @@ def snap_outlets(
     """
     require(radius >= 0, "radius must be >= 0")
     located = outlets.join(domains.select("grid_id", "nx", "ny", "west", "east", "south", "north"), "grid_id")
-    half_x = (F.col("east") - F.col("west")) / F.col("nx") / 2
-    half_y = (F.col("north") - F.col("south")) / F.col("ny") / 2
+    def ends(low: str, high: str, n: str) -> tuple[Column, Column]:
+        return tuple(center(F.col(low), F.col(high), F.col(n), m) for m in (F.lit(1), F.col(n)))
+
+    (x_first, x_last), (y_first, y_last) = ends("west", "east", "nx"), ends("south", "north", "ny")
+    # Strictly inside: an outlet on an outermost node counts as outside.
     inside = (
-        (F.col("lon") > F.col("west") + half_x)
-        & (F.col("lon") < F.col("east") - half_x)
-        & (F.col("lat") > F.col("south") + half_y)
-        & (F.col("lat") < F.col("north") - half_y)
+        (F.col("lon") > x_first) & (F.col("lon") < x_last) & (F.col("lat") > y_first) & (F.col("lat") < y_last)
     )
     located = located.select(
         *outlets.columns,
