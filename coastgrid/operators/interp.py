@@ -76,7 +76,9 @@ def vertical_weights(levels: DataFrame, depths: DataFrame, keys: Sequence[str] =
     above = F.size(F.filter(d, lambda v: v <= want))
     low = clamp(above, 1, F.size(d) - 1)
     d_low, d_high = F.element_at(d, low), F.try_element_at(d, low + 1)
-    weight = F.coalesce(clamp(F.try_divide(want - d_low, d_high - d_low), F.lit(0.0), F.lit(1.0)), F.lit(0.0))
+    share = F.try_divide(want - d_low, d_high - d_low)
+    # A single source level has no upper neighbour; least/greatest would skip the NULL.
+    weight = F.when(share.isNull(), F.lit(0.0)).otherwise(clamp(share, F.lit(0.0), F.lit(1.0)))
     pair = joined.withColumns({"_low": low, "_w": weight}).select(
         *keys,
         "k",
