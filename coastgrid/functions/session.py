@@ -41,3 +41,14 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/coastgrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def summary_table(df: DataFrame) -> DataFrame:
+    """A per-key summary, computed once and written, so that its true size is known.
+
+    Joining a summary back to its big table would otherwise shuffle that table by a
+    handful of keys, since the size of an aggregate is only guessed.  From the written
+    table Catalyst broadcasts it when it is below the broadcast threshold, and falls
+    back to a skew-handled shuffle join when it is not.
+    """
+    return materialise(df)

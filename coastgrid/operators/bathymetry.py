@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coastgrid.errors import require
-from coastgrid.functions.session import materialise
-from coastgrid.functions.tiles import TILE, spread_to_tiles, with_neighbours
+from coastgrid.functions.session import materialise, summary_table
+from coastgrid.functions.tiles import TILE, TILE_COLUMNS, spread_to_tiles, with_neighbours
 from coastgrid.operators.grid import grid_spine
 from coastgrid.operators.interp import corner_quads, fractional_index
 
@@ -120,8 +120,14 @@ def _shift(h: np.ndarray, di: int, dj: int) -> np.ndarray:
 
 
 def _per_tile(tiled: DataFrame, function: Callable[..., pd.DataFrame], schema: str, **settings) -> DataFrame:
-    """Run a tile function on every tile; no group is larger than one tile with its halo."""
-    return tiled.groupBy("grid_id", "tile_i", "tile_j").applyInPandas(lambda rows: function(rows, **settings), schema)
+    """Run a tile function on every tile; no group is larger than one tile with its halo.
+
+    Tiles are few bytes but much work, so the partition count is fixed here: adaptive
+    execution would merge them by size into a handful of tasks.
+    """
+    tile = ["grid_id", *TILE_COLUMNS]
+    tasks = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiled.repartition(tasks, *tile).groupBy(*tile).applyInPandas(lambda rows: function(rows, **settings), schema)
 
 
 def _clean_tile(rows: pd.DataFrame, passes: int, sides: int) -> pd.DataFrame:
@@ -395,7 +401,7 @@ def read_bathymetry(df: DataFrame) -> DataFrame:
     Missing heights become 0.  A domain whose finite heights are all >= 0 holds
     positive depths and is negated.
     """
-    lowest = df.groupBy("grid_id").agg(F.min(F.when(~F.isnan("h"), F.col("h"))).alias("_low"))
+    lowest = summary_table(df.groupBy("grid_id").agg(F.min(F.when(~F.isnan("h"), F.col("h"))).alias("_low")))
     h = F.when(~F.isnan("h"), F.col("h"))
     signed = F.when(F.col("_low") >= 0, -h).otherwise(h)
     return (
@@ -411,12 +417,12 @@ def normalise_axes(df: DataFrame, domains: DataFrame) -> DataFrame:
     ``domains`` holds the axis lengths ``nx, ny`` of each ``grid_id``.
     """
     extent = df.groupBy("grid_id").agg(F.max("i").alias("_ni"), F.max("j").alias("_nj"))
-    state = extent.join(domains.select("grid_id", "nx", "ny"), "grid_id").select(
-        "grid_id",
-        "nx",
-        "ny",
-        ((F.col("_ni") == F.col("nx")) & (F.col("_nj") == F.col("ny"))).alias("_straight"),
-        ((F.col("_ni") == F.col("ny")) & (F.col("_nj") == F.col("nx"))).alias("_swapped"),
+    straight = (F.col("_ni") == F.col("nx")) & (F.col("_nj") == F.col("ny"))
+    swapped = (F.col("_ni") == F.col("ny")) & (F.col("_nj") == F.col("nx"))
+    state = summary_table(
+        extent.join(domains.select("grid_id", "nx", "ny"), "grid_id").select(
+            "grid_id", "nx", "ny", straight.alias("_straight"), swapped.alias("_swapped")
+        )
     )
     straight = F.col("_straight")
     return df.drop("nx", "ny").join(state, "grid_id").withColumns(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from coastgrid.errors import CoverageError, MissingRecordError, ValidationError
 from coastgrid.functions.columns import finite, raise_if_any
 from coastgrid.functions.neighbours import with_prev_next
+from coastgrid.functions.session import summary_table
 from coastgrid.operators.interp import zero_fill
 from coastgrid.operators.timeaxis import record_nearest
 
@@ -266,12 +267,12 @@ def read_state(
     wanted = results.filter(F.col("variable").isin(*{*tracers, "u", "v"}))
     validate_dims(wanted, domains, strict=strict)
     if date is None:
-        at = wanted.groupBy(*keys).agg(F.max("ts").alias("_at"))
+        at = summary_table(wanted.groupBy(*keys).agg(F.max("ts").alias("_at")))
         chosen = wanted.join(at, keys).filter(F.col("ts") == F.col("_at"))
     else:
         stamps = wanted.select(*keys, "ts").distinct()
         asked = stamps.select(*keys).distinct().withColumn("date", date)
-        found = record_nearest(stamps, asked, keys, tolerance_seconds)
+        found = summary_table(record_nearest(stamps, asked, keys, tolerance_seconds))
         if strict:
             raise_if_any(
                 found.filter(~F.col("found")),

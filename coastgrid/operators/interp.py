@@ -254,28 +254,30 @@ def nearest_valid_map(valid: DataFrame, keys: Sequence[str] = ("dataset", "lev")
         .select(*keys, "i", "j", "_src_j")
     )
     # One row of one level per group, bounded by the horizontal extent of the source.
-    rows = columns.groupBy(*keys, "j").agg(
-        F.collect_list("i").alias("_targets"),
-        F.collect_list(
-            F.when(F.col("_src_j").isNotNull(), F.struct(F.col("i").alias("i"), F.col("_src_j").alias("j")))
-        ).alias("_found"),
-    )
-
-    def best(i: Column) -> Column:
+    cell = F.struct(F.col("i").alias("i"), F.col("_src_j").alias("j"))
+    rows = columns.groupBy(*keys, "j").agg(F.array_sort(F.collect_list(cell)).alias("_row"))
+
+    def best(c: Column, at: Column) -> Column:
+        # No column farther away than the own column's find can be nearer.
+        reach = F.coalesce(F.abs(c["j"] - F.col("j")), F.size("_row"))
+        start = F.greatest(at - reach, F.lit(0)) + 1
+        near = F.slice("_row", start, at + reach - start + 2)
         return F.array_min(
             F.transform(
-                F.col("_found"),
-                lambda c: F.struct(
-                    ((c["i"] - i) * (c["i"] - i) + (c["j"] - F.col("j")) * (c["j"] - F.col("j"))).alias("d2"),
-                    c["j"].alias("src_j"),
-                    c["i"].alias("src_i"),
+                F.filter(near, lambda o: o["j"].isNotNull()),
+                lambda o: F.struct(
+                    ((o["i"] - c["i"]) * (o["i"] - c["i"]) + (o["j"] - F.col("j")) * (o["j"] - F.col("j"))).alias("d2"),
+                    o["j"].alias("src_j"),
+                    o["i"].alias("src_i"),
                 ),
             )
         )
 
     return (
-        rows.filter(F.size("_found") > 0)
-        .select(*keys, "j", F.inline(F.transform("_targets", lambda i: F.struct(i.alias("i"), best(i).alias("b")))))
+        rows.select(
+            *keys, "j", F.inline(F.transform("_row", lambda c, at: F.struct(c["i"].alias("i"), best(c, at).alias("b"))))
+        )
+        .filter(F.col("b").isNotNull())
         .select(*keys, "i", "j", F.col("b.src_i").alias("src_i"), F.col("b.src_j").alias("src_j"))
     )
 

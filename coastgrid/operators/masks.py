@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coastgrid.errors import ValidationError, require
 from coastgrid.functions.columns import check_edge, finite, raise_if_any
+from coastgrid.functions.session import summary_table
 from coastgrid.functions.tiles import with_neighbours
 
 # Fixed value: least wet fraction of a partial bottom cell.
@@ -36,7 +37,7 @@ def subset_box(
     lon, lat = F.col("lon"), F.col("lat")
     inside = (lon >= west) & (lon <= east) & (lat >= south) & (lat <= north)
     grown = margin or 0
-    bounds = (
+    bounds = summary_table(
         df.groupBy(*keys)
         .agg(
             F.min(F.when(inside, F.col("i"))).alias("i_lo"),
@@ -156,7 +157,7 @@ def surface_slice(df: DataFrame, keys: Sequence[str] = ("grid_id",), at: Column
     stats = [F.max("k").alias("_top")]
     if at is None:
         stats.append(F.min("ts").alias("_ts"))
-    bounds = df.groupBy(*keys).agg(*stats)
+    bounds = summary_table(df.groupBy(*keys).agg(*stats))
     if at is not None:
         bounds = bounds.withColumn("_ts", at)
     return (
@@ -181,7 +182,7 @@ def coastal_cells(mask: DataFrame) -> DataFrame:
 
 def validity(df: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
     """Which source cells hold data, decided at each dataset's first time step."""
-    first = df.groupBy(*keys).agg(F.min("ts").alias("_first"))
+    first = summary_table(df.groupBy(*keys).agg(F.min("ts").alias("_first")))
     return (
         df.join(first, list(keys))
         .filter(F.col("ts") == F.col("_first"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coastgrid.errors import MissingRecordError, require
 from coastgrid.functions.columns import raise_if_any
+from coastgrid.functions.session import summary_table
 from coastgrid.operators.grid import center
 
 # Cells searched for a coastal cell, and the offset of source river numbers.
@@ -28,7 +29,7 @@ def read_river_series(
     number and adds the constant-valued variables at every record.
     """
     # The top level is found per river, with map-side partial maxima.
-    top = df.groupBy("river").agg(F.max("level").alias("_top"))
+    top = summary_table(df.groupBy("river").agg(F.max("level").alias("_top")))
     surface = df.join(top, "river").filter(F.col("level") == F.col("_top"))
     entries = [F.struct(F.lit(p).alias("variable"), F.col(s).cast("double").alias("value")) for s, p in variables.items()]
     entries += [F.struct(F.lit(n).alias("variable"), F.lit(float(v)).alias("value")) for n, v in constants.items()]

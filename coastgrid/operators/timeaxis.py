@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from coastgrid.errors import CoverageError, MissingRecordError, require
 from coastgrid.functions.columns import interval_seconds, micros, micros_between, raise_if_any
 from coastgrid.functions.neighbours import with_prev_next
+from coastgrid.functions.session import summary_table
 
 # Longest unflagged run of missing days, and the forecast layout.
 MAX_GAP_DAYS = 6
@@ -40,8 +41,10 @@ def complete_daily(records: DataFrame, keys: Sequence[str] = ("series",), max_ga
         *keys, "ts", F.col("next.ts").alias("_next")
     )
     gaps = gaps.withColumn("_gap", micros_between(F.col("ts"), F.col("_next")))
-    cadence = gaps.groupBy(*keys).agg(
-        F.coalesce(F.bool_and(F.col("_gap") % DAY_MICROS == 0), F.lit(True)).alias("whole_day")
+    cadence = summary_table(
+        gaps.groupBy(*keys).agg(
+            F.coalesce(F.bool_and(F.col("_gap") % DAY_MICROS == 0), F.lit(True)).alias("whole_day")
+        )
     )
     span = F.when(F.col("whole_day") & F.col("_gap").isNotNull(), F.floor(F.col("_gap") / DAY_MICROS)).otherwise(1)
     step = F.transform(
@@ -82,8 +85,10 @@ def pad_axis(
     keys = list(keys)
     row = F.struct(*[F.col(c) for c in steps.columns])
     rest = [c for c in steps.columns if c not in (*keys, "ts")]
-    ends = steps.groupBy(*keys).agg(
-        F.min_by(row, "ts").alias("_head"), F.max_by(row, "ts").alias("_tail"), F.min("ts").alias("_first")
+    ends = summary_table(
+        steps.groupBy(*keys).agg(
+            F.min_by(row, "ts").alias("_head"), F.max_by(row, "ts").alias("_tail"), F.min("ts").alias("_first")
+        )
     )
     # The second stamp needs only the minimum of the stamps after the first.
     second = (
@@ -92,7 +97,7 @@ def pad_axis(
         .groupBy(*keys)
         .agg(F.min("ts").alias("_second"))
     )
-    plan = ends.join(windows, keys).join(second, keys, "left")
+    plan = summary_table(ends.join(windows, keys).join(second, keys, "left"))
     head, tail = F.col("_head.ts"), F.col("_tail.ts")
     plan = plan.withColumns(
         {
@@ -281,7 +286,7 @@ def seconds_since(
     if reference is not None:
         origin = F.lit(reference).cast("timestamp_ntz")
         return df.withColumn(out, micros_between(origin, F.col("ts")) / 1000000)
-    first = df.groupBy(*keys).agg(F.min("ts").alias("_origin"))
+    first = summary_table(df.groupBy(*keys).agg(F.min("ts").alias("_origin")))
     return (
         df.join(first, list(keys))
         .withColumn(out, micros_between(F.col("_origin"), F.col("ts")) / 1000000)
@@ -321,8 +326,10 @@ def interpolate_at(
         .groupBy(*keys)
         .agg((F.min("_t") - F.min("_t0")).alias("_spacing"))
     )
-    extent = extent.join(second, keys, "left").withColumn(
-        "_period", F.col("_t1") - F.col("_t0") + F.coalesce("_spacing", F.lit(DAY_MICROS))
+    extent = summary_table(
+        extent.join(second, keys, "left").withColumn(
+            "_period", F.col("_t1") - F.col("_t0") + F.coalesce("_spacing", F.lit(DAY_MICROS))
+        )
     )
     want = instants.withColumn("_want", micros(F.col("ts"))).join(extent, keys)
     if mode == "cyclical":
@@ -412,7 +419,7 @@ def record_nearest(
 
 def last_record(df: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
     """The rows at the last time of every series."""
-    last = df.groupBy(*keys).agg(F.max("ts").alias("_last"))
+    last = summary_table(df.groupBy(*keys).agg(F.max("ts").alias("_last")))
     return df.join(last, list(keys)).filter(F.col("ts") == F.col("_last")).drop("_last")
 
 
