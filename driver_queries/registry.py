@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 FAMILIES = (sources, grid, masks, bathymetry, timeaxis, interp, relax, checks)
 
 
-def _with_package(query: Query) -> Query:
+def with_package(query: Query) -> Query:
+    """The query, run after the library was shipped to the workers."""
+
     @wraps(query)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         ship_package(spark)
@@ -24,7 +26,7 @@ def _with_package(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _with_package(query) for family in FAMILIES for name, (query, _) in family.QUERIES.items()}
+    return {name: with_package(query) for family in FAMILIES for name, (query, _) in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
