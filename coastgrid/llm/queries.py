@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastgrid.llm import exact_dedup
+from coastgrid.llm import exact_dedup, line_dedup, quality_rules
 from coastgrid.llm.common import read_table
 
 
@@ -25,8 +25,19 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS te
 FROM t JOIN g USING (text)
 """
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "lines", "equal_lines", "near_lines", exact_dedup.sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_line_dedup": (op2_line_dedup, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
+    "op10_quality_rules": (op10_quality_rules, None),
 }
 
 
