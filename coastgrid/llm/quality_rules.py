@@ -251,7 +251,7 @@ def quality_rules(
     lang: str = "lang",
     source: str = "source",
     share: float = 0.75,
-    tail: float = 1e-7,
+    tail: float = 1e-6,
     smallest: int = 100,
     steps: int = 8,
 ) -> DataFrame:
