@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastgrid.llm import exact_dedup, line_dedup, quality_rules
+from coastgrid.llm import exact_dedup, line_dedup, near_dedup, quality_rules
 from coastgrid.llm.common import read_table
 
 
@@ -34,9 +34,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "lines", "equal_lines", "near_lines", exact_dedup.sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_line_dedup": (op2_line_dedup, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
+    "op6_near_dedup": (op6_near_dedup, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
 
