@@ -16,8 +16,8 @@ def _hashed(line: Column, tag: int) -> Column:
     return F.xxhash64(F.lit(tag), line)
 
 
-def _line_table(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
-    """One row per document: its lines, the first place of each distinct one, later places.
+def _line_marks(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
+    """One row per document: the first place of each distinct line with the line, and later places.
 
     Two seeded 64-bit hashes of the trimmed line stand for it.
     """
@@ -31,7 +31,9 @@ def _line_table(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Data
                     F.transform("lines", lambda x, i: F.struct(F.btrim(x, F.lit(BLANK_CHARS)).alias("x"), i.alias("i"))),
                     lambda s: F.char_length(s["x"]) >= min_chars,
                 ),
-                lambda s: F.struct(_hashed(s["x"], 1).alias("h1"), _hashed(s["x"], 2).alias("h2"), s["i"].alias("i")),
+                lambda s: F.struct(
+                    _hashed(s["x"], 1).alias("h1"), _hashed(s["x"], 2).alias("h2"), s["i"].alias("i"), s["x"].alias("line")
+                ),
             )
         ),
     )
@@ -39,7 +41,6 @@ def _line_table(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Data
     again = lambda s, k: s["h1"].eqNullSafe(F.get(marks, k - 1)["h1"]) & s["h2"].eqNullSafe(F.get(marks, k - 1)["h2"])
     return rows.select(
         "doc_id",
-        "lines",
         F.filter(marks, lambda s, k: ~again(s, k)).alias("firsts"),
         F.transform(F.filter(marks, again), lambda s: s["i"]).alias("repeats"),
     )
@@ -111,7 +112,8 @@ def _variants(blocks: DataFrame) -> DataFrame:
     at_place = F.transform(places, lambda p: F.xxhash64(key, p, without(p)))
     deleted = F.transform(places, lambda p: F.xxhash64(key, F.lit(0), without(p)))
     return (
-        longer.select("doc_id", "i", F.explode(F.array_distinct(F.concat(at_place, deleted))).alias("variant"), F.lit(False).alias("whole"))
+        longer.select("doc_id", "i", F.explode_outer(F.array_distinct(F.concat(at_place, deleted))).alias("variant"), F.lit(False).alias("whole"))
+        .filter("variant IS NOT NULL")
         .unionByName(
             blocks.filter("not is_longer").select(
                 "doc_id", "i", F.xxhash64(key, F.lit(0), middle).alias("variant"), F.lit(True).alias("whole")
@@ -163,10 +165,9 @@ def repeated_lines(
     Documents with null id or text are left alone.  Rows that share an id are taken as
     one document: what is first in one of them is first in all.
     """
-    table = _line_table(docs, text, doc_id, min_chars)
-    occurrences = table.select("doc_id", F.explode("firsts").alias("f"), "lines").select(
-        "doc_id", "f.h1", "f.h2", "f.i", F.btrim(F.get("lines", F.col("f.i")), F.lit(BLANK_CHARS)).alias("line")
-    )
+    table = _line_marks(docs, text, doc_id, min_chars)
+    # Outer: for a plain explode Spark adds a filter on the array and computes it once more there.
+    occurrences = table.select("doc_id", F.explode_outer("firsts").alias("f")).filter("f IS NOT NULL").select("doc_id", "f.*")
     keys = F.when(F.char_length("line") >= near_chars, _half_keys(F.col("line")))
     lines = materialise(
         occurrences.select("doc_id", "h1", "h2", "i", *(F.get(keys, F.lit(n)).alias(f"k{n}") for n in range(4)))
@@ -178,7 +179,7 @@ def repeated_lines(
     near = near_lines(texts)
     shared = lines.filter("n > 1").select("h1", "h2", F.col("doc_id").alias("keep_doc"))
     equal = occurrences.select("doc_id", "h1", "h2", "i").join(shared, ["h1", "h2"]).filter("doc_id != keep_doc")
-    inside = table.filter(F.size("repeats") > 0).select("doc_id", F.explode("repeats").alias("i"))
+    inside = table.select("doc_id", F.explode_outer("repeats").alias("i")).filter("i IS NOT NULL")
     drops = (
         equal.select("doc_id", "i", F.lit(True).alias("equal"))
         .unionByName(inside.select("doc_id", "i", F.lit(True).alias("equal")))
