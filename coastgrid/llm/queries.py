@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastgrid.llm import exact_dedup, line_dedup, near_dedup, quality_rules
+from coastgrid.llm import byte_pairs, exact_dedup, line_dedup, near_dedup, packing, quality_rules, tokens
 from coastgrid.llm.common import read_table
 
 
@@ -38,10 +39,29 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language, every length that occurs; no limit is left out."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.length_histogram(read_table(spark, sf_dir, "documents"), path, keys=("lang",))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), path, with_ids=False).drop("ids")
+
+
+def op7_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_pairs.round_trips(read_table(spark, sf_dir, "documents"), path)
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_token_counts": (op1_token_counts, None),
     "op2_line_dedup": (op2_line_dedup, None),
+    "op3_packing": (op3_packing, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op6_near_dedup": (op6_near_dedup, None),
+    "op7_byte_pairs": (op7_byte_pairs, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
 
