@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastgrid.llm import byte_pairs, exact_dedup, line_dedup, near_dedup, packing, quality_rules, tokens
+from coastgrid.llm import byte_pairs, exact_dedup, line_dedup, near_dedup, packing, quality_rules, tokens, toxicity
 from coastgrid.llm.common import read_table
 
 
@@ -50,6 +50,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), path, with_ids=False).drop("ids")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit_from_labels(docs, read_table(spark, sf_dir, "labels"))
+    scores = toxicity.score_toxicity(docs, model)
+    return scores.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op7_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_pairs.round_trips(read_table(spark, sf_dir, "documents"), path)
@@ -61,6 +68,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_packing": (op3_packing, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op6_near_dedup": (op6_near_dedup, None),
+    "op5_toxicity": (op5_toxicity, None),
     "op7_byte_pairs": (op7_byte_pairs, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
