@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastgrid.llm import byte_pairs, exact_dedup, line_dedup, near_dedup, packing, quality_rules, tokens, toxicity
+from coastgrid.llm import byte_pairs, exact_dedup, line_dedup, near_dedup, packing, personal_data, quality_rules, tokens, toxicity
 from coastgrid.llm.common import read_table
 
 
@@ -62,6 +62,13 @@ def op7_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trips(read_table(spark, sf_dir, "documents"), path)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = personal_data.find_personal_data(docs, personal_data.fit_from_sample(docs))
+    counts = [f"n_{k}" for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, exact_dedup.sha256(F.col("base")).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_line_dedup": (op2_line_dedup, None),
@@ -70,6 +77,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_near_dedup": (op6_near_dedup, None),
     "op5_toxicity": (op5_toxicity, None),
     "op7_byte_pairs": (op7_byte_pairs, None),
+    "op9_personal_data": (op9_personal_data, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
 

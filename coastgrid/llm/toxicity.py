@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coastgrid.llm.boosting import logistic
 from coastgrid.llm.common import narrow
 
 #: Known to both dictionaries and put before each window, so that the fixed cost of a first
@@ -152,22 +153,6 @@ class CompressionDistance:
         return np.concatenate([*out, [np.log1p(len(words)) / 4, 1.0]])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """Weighted logistic regression by Newton steps; the last column is the constant."""
-    b = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + penalty * b
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
-        b -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return b
-
-
 @dataclass(frozen=True)
 class ToxicityModel:
     toxic: bytes
@@ -200,7 +185,7 @@ def fit(toxic: list[str], ordinary: list[str], share: float, config: ToxicityCon
         y = np.r_[np.ones(len(bad_check)), np.zeros(len(good_check))]
         count = len(y)
         weight = np.where(y == 1, share * count / len(bad_check), (1 - share) * count / len(good_check))
-        weights = _logistic(x, y, weight)
+        weights = logistic(x, y, weight)
     else:
         weights[-1] = np.log((share + 1e-3) / (1 - share + 1e-3))
     return ToxicityModel(trained_toxic, trained_ordinary, tuple(weights), config)
