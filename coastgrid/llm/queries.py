@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coastgrid.llm import byte_pairs, exact_dedup, line_dedup, near_dedup, packing, personal_data, quality_rules, tokens, toxicity
+from coastgrid.llm import byte_pairs, exact_dedup, line_dedup, near_dedup, packing, personal_data, quality_rules, site_quality, tokens, toxicity
 from coastgrid.llm.common import read_table
 
 
@@ -62,6 +62,15 @@ def op7_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trips(read_table(spark, sf_dir, "documents"), path)
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the host and path of their page, or else by source and language."""
+    docs = read_table(spark, sf_dir, "documents")
+    sites = site_quality.merged_sites(docs, read_table(spark, sf_dir, "pages"))
+    # Labels of every fifth id stay unseen, so that the result can be measured on them.
+    labels = read_table(spark, sf_dir, "labels").filter(~toxicity.held_out("doc_id"))
+    return site_quality.site_quality(docs, sites, labels)
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = personal_data.find_personal_data(docs, personal_data.fit_from_sample(docs))
@@ -77,6 +86,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_near_dedup": (op6_near_dedup, None),
     "op5_toxicity": (op5_toxicity, None),
     "op7_byte_pairs": (op7_byte_pairs, None),
+    "op8_site_quality": (op8_site_quality, None),
     "op9_personal_data": (op9_personal_data, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
