@@ -32,7 +32,8 @@ def text_statistics(text: Column, docs: DataFrame) -> DataFrame:
     """``docs`` with the counts of ``BASE`` and ``n_marks, n_capitals, n_lines`` of ``text``."""
     step = docs.withColumn("_text", F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK_CHARS)))
     step = step.withColumn("_words", F.split("_text", BLANKS)).withColumn(
-        "_lines", F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(BLANK_CHARS)) != "")
+        # Of the text as it is: blanks at its ends belong to its first and last line.
+        "_lines", F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANK_CHARS)) != "")
     )
     words, n = F.col("_words"), F.col("n_words")
     step = step.withColumn("n_words", F.when(F.col("_text") == "", 0).otherwise(F.size("_words")).cast("long"))

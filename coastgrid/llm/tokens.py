@@ -31,15 +31,17 @@ class ByteLevelTokenizer:
 
     The file's vocabulary and merges are run by the faster coder of ``tiktoken``, whose
     order of merges is that of the ids.  That needs ids in merge order, which is checked;
-    files where it does not hold, and texts that spell out an added token, go through
-    ``tokenizers`` itself.
+    files where it does not hold, and texts that spell out an added token that is no special
+    one, go through ``tokenizers`` itself.  Special tokens spelt out in a text are ordinary text.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
-        self.added = [t["content"] for t in told.get("added_tokens", [])]
+        every = [t["content"] for t in told.get("added_tokens", [])]
+        self.added = [t["content"] for t in told.get("added_tokens", []) if not t.get("special")]
         letters = _byte_of_letter()
         self.fast = None
         model = told["model"]
@@ -47,7 +49,7 @@ class ByteLevelTokenizer:
         ids = [model["vocab"]["".join(m)] for m in merges]
         level = told.get("pre_tokenizer") or {}
         if level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and not told.get("normalizer") and ids == sorted(ids):
-            ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
+            ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in every}
             self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
