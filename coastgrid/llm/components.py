@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each links the neighbours of a node to its
     smallest neighbour, first the larger ones, then the smaller ones.  The table never
-    grows, a round halves the distances at least, and it ends when no node is both a
-    child and a parent, which is exact.  Every round is written to the shared folder.
+    grows, and it ends when every child has one parent and no child is a parent, which is
+    exact.  Every round is written to the shared folder.
     """
     pairs = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = materialise(pairs)
@@ -26,7 +26,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(parent, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = materialise(small.unionByName(parent.select("u", F.col("m").alias("v"))).distinct())
-        if pairs.select(F.col("v").alias("u")).join(pairs.select("u"), "u", "left_semi").isEmpty():
+        children = pairs.groupBy("u").agg(F.count("*").alias("parents"))
+        unsettled = pairs.select(F.col("v").alias("u")).join(children, "u", "left_semi")
+        if children.filter("parents > 1").select("u").unionByName(unsettled).isEmpty():
             break
     children = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

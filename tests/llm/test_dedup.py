@@ -152,6 +152,19 @@ def test_components_of_a_long_path(spark):
     assert connected_components(edges.filter("a < 0")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_sparse_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(103, 101), (103, 102), (104, 100), (104, 102)]
+    low = {n: n for e in pairs for n in e}
+    for _ in low:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    assert sorted(map(tuple, got)) == sorted((n, low[n]) for n in linked)
+
+
 def within_one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
