@@ -34,7 +34,7 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 def require_two_columns(df: DataFrame, keys: Sequence[str] = ("dataset",)) -> None:
     """A rotation angle needs at least two source columns."""
     narrow = df.groupBy(*keys).agg((F.max("i") - F.min("i")).alias("_span")).filter("_span < 1")
-    raise_if_any(narrow, F.lit("need at least two source columns to derive a rotation angle"), ValidationError)
+    raise_if_any(narrow, F.lit("rotation is undefined for a source with a single column"), ValidationError)
 
 
 def require_variables(df: DataFrame, variables: Sequence[str]) -> None:

@@ -199,4 +199,4 @@ def require_valid_source(valid: DataFrame, keys: Sequence[str] = ("dataset",)) -
     """Every dataset needs a valid cell, or there is nothing to fill from."""
     empty = valid.groupBy(*keys).agg(F.bool_or("valid").alias("_any")).filter(~F.col("_any"))
     name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    raise_if_any(empty, F.format_string("source %s has no valid cell in the requested region", name), ValidationError)
+    raise_if_any(empty, F.format_string("every cell of %s is masked, nothing to fill from", name), ValidationError)

@@ -72,7 +72,7 @@ def write_atmosphere(df: DataFrame, path: str) -> None:
 def write_river_copy(df: DataFrame, source_path: str, path: str) -> None:
     """Forcing with rivers, to a place of its own; the source is never overwritten."""
     if source_path.rstrip("/") == path.rstrip("/"):
-        raise ValidationError(f"the river output would overwrite the prepared forcing at {source_path}")
+        raise ValidationError(f"refusing to overwrite the input table {source_path}")
     write_forcing(df, path)
 
 
