@@ -277,10 +277,10 @@ def quality_rules(
     counted = text_statistics(F.col("text"), rows).drop("text")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     counted = materialise(counted.withColumn("base_failed", failed).withColumns(_features()))
-    passed = _groups(counted.filter("not base_failed"), smallest)
+    passed = materialise(_groups(counted.filter("not base_failed"), smallest))
     crowded = passed.groupBy("pool").agg(F.count("*").alias("crowd"))
     crowded = materialise(crowded.filter(F.col("crowd") >= smallest).select("pool"))
-    vectors = passed.join(crowded, "pool", "left_semi").select("pool", *FEATURES)
+    vectors = materialise(passed.join(crowded, "pool", "left_semi").select("pool", *FEATURES))
 
     p = len(FEATURES)
     inflate = share / chi_square_cdf(chi_square_quantile(share, p), p + 2)
