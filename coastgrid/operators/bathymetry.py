@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coastgrid.errors import require
+from coastgrid.errors import ValidationError, require
 from coastgrid.functions.session import materialise, summary_table
 from coastgrid.functions.tiles import TILE, TILE_COLUMNS, spread_to_tiles, with_neighbours
 from coastgrid.operators.grid import grid_spine
@@ -236,6 +236,7 @@ def limit_bottom_slope(
     tolerance: float = SLOPE_TOLERANCE,
     passes_per_round: int = 8,
     size: int = TILE,
+    strict: bool = False,
 ) -> DataFrame:
     """Move adjacent sea cells together until no pair is steeper than the limit.
 
@@ -243,7 +244,8 @@ def limit_bottom_slope(
     is kept; neither gets shallower than ``minimum_depth``.  A pass sweeps the pairs
     in four turns (axis x parity) whose pairs share no cell.  Information travels at
     most two cells per axis and pass, so ``passes_per_round`` passes are exact within
-    one halo tile, for one shuffle; domains that are settled leave the loop.
+    one halo tile, for one shuffle; domains that are settled leave the loop.  With ``strict``,
+    a pair still steeper after ``max_passes`` is an error; without, the result is as far as they got.
     """
     require(0 < max_slope_factor, "max_slope_factor must be positive")
     halo = 2 * passes_per_round + 2
@@ -269,7 +271,10 @@ def limit_bottom_slope(
             .filter(F.col("worst") > max_slope_factor + tolerance)
             .select("grid_id")
         )
-        if done >= max_passes or steep.isEmpty():
+        settled_all = steep.isEmpty()
+        if strict and done >= max_passes and not settled_all:
+            raise ValidationError(f"bottom slopes are still above {max_slope_factor} after {max_passes} passes")
+        if done >= max_passes or settled_all:
             settled.append(swept.select(*CELL))
             break
         settled.append(swept.join(steep, "grid_id", "left_anti").select(*CELL))

@@ -174,15 +174,16 @@ def bilinear_gather(
 def pack_columns(
     values: DataFrame, keys: Sequence[str] = ("dataset",), carry: Sequence[str] = ("variable", "ts"), value: str = "value"
 ) -> DataFrame:
-    """One array per water column, ``levels``, in level order (levels are 1..n without holes).
+    """One array per water column, ``levels``: element n is the value of level n, NULL where it has no row.
 
     A column has as many values as the source has levels, a few dozen at most.
     """
     cell = F.struct("lev", F.col(value).alias("v"))
+    at_level = lambda n: F.get(F.filter("_c", lambda c: c["lev"] == n), F.lit(0))["v"]
     return (
         values.groupBy(*keys, *carry, "i", "j")
-        .agg(F.array_sort(F.collect_list(cell)).alias("_c"))
-        .select(*keys, *carry, "i", "j", F.transform("_c", lambda c: c["v"]).alias("levels"))
+        .agg(F.collect_list(cell).alias("_c"), F.max("lev").cast("int").alias("_n"))
+        .select(*keys, *carry, "i", "j", F.transform(F.sequence(F.lit(1), F.col("_n")), at_level).alias("levels"))
     )
 
 

@@ -6,6 +6,8 @@ inside each file, so that reading one level of one time touches few row groups.
 
 from __future__ import annotations
 
+import os
+import posixpath
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from coastgrid.operators.checks import require_finite
 
 COMPRESSION = "zstd"
 MONTH_PARTITIONS = ("variable", "year", "month")
+ROWS_PER_STRIP = 512
 
 
 def write_bathymetry(df: DataFrame, path: str, domains: DataFrame | None = None) -> None:
@@ -25,7 +28,7 @@ def write_bathymetry(df: DataFrame, path: str, domains: DataFrame | None = None)
     if domains is not None:
         domains.write.mode("overwrite").parquet(f"{path.rstrip('/')}_domains")
     (
-        out.repartition("grid_id", F.floor((F.col("j") - 1) / 512))
+        out.repartition("grid_id", F.floor((F.col("j") - 1) / ROWS_PER_STRIP))
         .sortWithinPartitions("grid_id", "j", "i")
         .write.mode("overwrite")
         .option("compression", COMPRESSION)
@@ -36,10 +39,12 @@ def write_bathymetry(df: DataFrame, path: str, domains: DataFrame | None = None)
 def _by_month(df: DataFrame, sort: Sequence[str]) -> DataFrame:
     """Rows ready for a monthly partitioned write.
 
-    A month of one variable is spread over its days and levels (``k`` where present),
-    so a single huge month neither lands in one task nor in one file.
+    A month of one variable is spread over its days and, where present, its levels, domains and
+    strips of rows, so neither a huge month nor a wide domain lands in one task or file.
     """
-    spread = [F.dayofmonth("ts")] + ([F.col("k")] if "k" in df.columns else [])
+    spread = [F.dayofmonth("ts"), *(F.col(c) for c in ("k", "grid_id") if c in df.columns)]
+    if "j" in df.columns:
+        spread.append(F.floor((F.col("j") - 1) / ROWS_PER_STRIP))
     return (
         df.withColumns({"year": F.year("ts"), "month": F.month("ts")})
         .repartition(*MONTH_PARTITIONS, *spread)
@@ -69,18 +74,29 @@ def write_atmosphere(df: DataFrame, path: str) -> None:
     _write_months(df.withColumn("value", F.col("value").cast("float")), path, ("grid_id", "ts", "j", "i"))
 
 
+def _place(path: str) -> str:
+    """A path in one spelling: absolute where it names no file system, no ``file:``, no dots or double slashes."""
+    scheme, sep, rest = path.partition("://")
+    if sep and scheme != "file":
+        host, _, inner = rest.partition("/")
+        return f"{scheme}://{host}{posixpath.normpath('/' + inner.lstrip('/'))}"
+    local = rest if sep else path.removeprefix("file:")
+    return "/" + os.path.abspath(local).lstrip("/")
+
+
 def write_river_copy(df: DataFrame, source_path: str, path: str) -> None:
-    """Forcing with rivers, to a place of its own; the source is never overwritten."""
-    if source_path.rstrip("/") == path.rstrip("/"):
+    """Forcing with rivers, to a place of its own; the source, and what lies above or below it, is never overwritten."""
+    old, new = _place(source_path), _place(path)
+    if old == new or old.startswith(new.rstrip("/") + "/") or new.startswith(old.rstrip("/") + "/"):
         raise ValidationError(f"refusing to overwrite the input table {source_path}")
     write_forcing(df, path)
 
 
 def write_month_staged(df: DataFrame, path: str, sort: Sequence[str] = ("ts", "k", "j", "i")) -> None:
-    """Replace exactly the months in ``df``, all at once or not at all.
+    """Replace exactly the months in ``df``; dynamic partition overwrite keeps every other month.
 
-    Spark stages task output and publishes it when the job commits; dynamic partition
-    overwrite keeps every other month.
+    Spark stages task output and publishes it when the job commits, month by month: a job that
+    fails before its commit changes nothing, a driver lost during it may leave some months old.
     """
     (
         _by_month(df, sort)

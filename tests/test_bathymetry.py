@@ -80,6 +80,10 @@ def test_slope_pair(cells, matrix):
     assert all(r[0] <= -2 for r in floored)
     with pytest.raises(ValidationError):
         bathy.limit_bottom_slope(cells(gentle), 0.0)
+    chain = [[-1], [-900], [-1], [-5], [-900], [-1], [-900]]
+    assert len(matrix(bathy.limit_bottom_slope(cells(chain), 0.1, max_passes=1))) == 7
+    with pytest.raises(ValidationError, match="passes"):
+        bathy.limit_bottom_slope(cells(chain), 0.1, max_passes=1, strict=True)
 
 
 def _worst(h):

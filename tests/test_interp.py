@@ -145,3 +145,10 @@ def test_rasterize_even_odd(spark, domain):
                 if hits % 2:
                     expected.add((i + 1, j + 1))
     assert got == expected
+
+
+def test_packed_levels_stand_at_their_numbers(spark):
+    rows = [(1, "T", 0, 1, 1, 1, 1.0), (1, "T", 0, 1, 1, 3, 3.0), (1, "T", 0, 2, 1, 2, None), (1, "T", 0, 2, 1, 1, 5.0)]
+    values = spark.createDataFrame(rows, "dataset int, variable string, ts int, i int, j int, lev int, value double")
+    got = {r.i: r.levels for r in interp.pack_columns(values).collect()}
+    assert got == {1: [1.0, None, 3.0], 2: [5.0, None]}

@@ -7,6 +7,7 @@ from coastgrid import plans, sinks, sources, streaming
 from coastgrid.errors import MissingRecordError, ValidationError
 from coastgrid.functions.session import materialise, scratch_dir
 from coastgrid.operators import checks, grid
+from coastgrid.sinks import writers
 
 
 @pytest.fixture(scope="module")
@@ -176,3 +177,18 @@ def test_native_spine_is_lazy(domain):
     before = d.sparkSession.sparkContext.statusTracker().getJobIdsForGroup(None)
     grid.grid_spine(grid.expand_domain(d, 2), "ccc")
     assert d.sparkSession.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+@pytest.mark.parametrize(
+    "source, path", [("/a/b", "/a/./b/"), ("/a/b", "file:///a/b"), ("/a/b", "/a/b/c"), ("/a/b/c", "/a/b"), ("s3://x/a", "s3://x//a"), ("b", "./b")]
+)
+def test_river_copy_keeps_off_its_source(spark, source, path):
+    with pytest.raises(ValidationError):
+        sinks.write_river_copy(spark.range(0), source, path)
+
+
+def test_a_day_of_many_domains_is_several_tasks(spark):
+    rows = spark.range(64).selectExpr("id AS grid_id", "'T' AS variable", "timestamp_ntz'2020-01-01 12:00:00' AS ts", "1 AS k", "1 AS j", "1 AS i")
+    spread = writers._by_month(rows, ("grid_id",)).select(F.spark_partition_id().alias("p"))
+    plan = spread._jdf.queryExecution().optimizedPlan().toString()
+    assert "grid_id" in plan and "RepartitionByExpression" in plan
