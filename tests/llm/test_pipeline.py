@@ -47,3 +47,17 @@ def test_stages_take_empty_tables_and_nulls(spark):
         docs = spark.createDataFrame(rows, schema)
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SF).count() >= 0
+
+
+def test_near_stage_links_from_four_fifths_on(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows, want = [], set()
+    # A changed word costs five of n shingles: n = 50 gives 45 / 55 = 0.818, n = 40 gives 35 / 45 = 0.778.
+    for n in range(40):
+        for at, shingles in ((0, 50), (1000, 40)):
+            words = [f"w{n}x{at}y{k}" for k in range(shingles + 4)]
+            other = [*words[:20], "changed", *words[21:]]
+            rows += [(at + 2 * n, " ".join(words), "en", "s", 1), (at + 2 * n + 1, " ".join(other), "en", "s", 1)]
+            want |= {at + 2 * n} if at == 0 else {at + 2 * n, at + 2 * n + 1}
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert {r["doc_id"] for r in got} == want
