@@ -1,7 +1,9 @@
-"""Repeated and nearly repeated lines across documents, by deletion neighbourhoods."""
+"""Repeated and nearly repeated lines across documents, by intact segments."""
 
 from __future__ import annotations
 
+from itertools import accumulate, combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from coastgrid.functions.session import materialise
 from coastgrid.llm.common import narrow
 
 BLANK_CHARS = " \t\x0b\f\r"
-EDITS = 1
+#: Edits between nearly equal lines in the query and the pipeline: a two-digit year, or two letters of a word.
+EDITS = 2
 
 
 def _hashed(line: Column, tag: int) -> Column:
@@ -46,121 +49,79 @@ def _line_marks(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Data
     )
 
 
-def _half_keys(line: Column) -> Column:
-    """Keys that any two lines at one edit have in common.
+def _shared_parts(edits: int, segments: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
+    """What a line has in common with one that is ``d`` longer: ``(d, segments, shifts)``.
 
-    One edit leaves a common prefix and suffix that cover all but one character of the
-    longer line, of length M; one of them then has M // 2 characters.  A line takes part
-    as the longer one and as the shorter one.
+    The longer line is cut into ``segments``.  Let each edit take the segment it is in, or if
+    that is taken the next free one (before it, at the end): ``edits`` segments are taken, the
+    others are intact, and a run of g taken ones holds at most g edits.  So some choice of
+    intact segments occurs in the shorter line, each shifted by what the runs before it lack.
     """
-    m = F.char_length(line)
-    keys = []
-    for longer in (m, m + 1):
-        half = F.floor(longer / 2).cast("int")
-        keys += [F.xxhash64(F.lit(0), longer, F.left(line, half)), F.xxhash64(F.lit(1), longer, F.right(line, half))]
-    return F.array(*keys)
-
-
-def _near_candidates(lines: DataFrame) -> DataFrame:
-    """The distinct lines that share a half with another distinct line: ``doc_id, i``."""
-    keyed = lines.select("doc_id", "i", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return materialise(keyed.join(shared, "key", "left_semi").select("doc_id", "i").distinct())
+    found = []
+    for intact in combinations(range(segments), segments - edits):
+        runs = [b - a - 1 for a, b in zip((-1, *intact), (*intact, segments))]
+        for lacks in product(*(range(-g, g + 1) for g in runs)):
+            if 0 <= sum(lacks) <= edits:
+                found.append((sum(lacks), intact, tuple(accumulate(lacks[:-1]))))
+    return sorted(found)
 
 
-def _block_keys(lines: DataFrame) -> DataFrame:
-    """Deletion of whole blocks: one row per line, longer length M and block of M.
+def _part_keys(line: Column, edits: int, segments: int) -> list[Column]:
+    """Keys of which any two lines within ``edits`` have one in common.
 
-    ``key`` hashes what lies before and after the block, counted from either end, and
-    ``middle`` is the rest.  Lines at one edit share the key of the block with the edit.
-    A block has about M ** (2/3) characters, so neither the blocks of a line nor the
-    deletions inside one block are many, however long the line is.
+    A line takes part as the longer one (keys without shifts) and as the shorter one.
     """
-    m = F.char_length("line")
-    framed = lines.withColumn("longer", F.explode(F.array(m, m + 1)))
-    width = F.greatest(F.lit(16), F.ceil(F.pow(F.col("longer").cast("double"), F.lit(2 / 3)))).cast("int")
-    framed = framed.withColumn("width", width).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.floor((F.col("longer") - 1) / F.col("width")).cast("int")))
-    )
-    start = F.col("block") * F.col("width")
-    after = F.greatest(F.lit(0), F.col("longer") - start - F.col("width"))
-    framed = framed.withColumns({"start": start, "after": after})
-    return framed.select(
-        "doc_id",
-        "i",
-        (F.char_length("line") == F.col("longer")).alias("is_longer"),
-        F.xxhash64("longer", "block", F.left("line", F.col("start")), F.lit("\n"), F.right("line", F.col("after"))).alias("key"),
-        F.substr(F.col("line"), F.col("start") + 1, F.char_length("line") - F.col("after") - F.col("start")).alias("middle"),
-    )
-
+    keys = []
+    for lack, intact, shifts in _shared_parts(edits, segments):
+        longer = F.char_length(line) + lack
+        edge = lambda n, longer=longer: F.floor(longer * n / segments).cast("int")
+        parts = [F.substr(line, edge(n) - shift + 1, edge(n + 1) - edge(n)) for n, shift in zip(intact, shifts)]
+        # Long parts and short ones alike are as long as the longer line says, so no mark is put between them.
+        keys.append(F.xxhash64(F.lit(".".join(map(str, intact))), longer, *parts))
+    return keys
 
-def _variants(blocks: DataFrame) -> DataFrame:
-    """All deletions inside a shared block as hashed keys: ``doc_id, i, variant, whole``.
 
-    Variants of equal length carry the deleted place: lines that share one differ by a
-    substitution there, so the earliest stands for all.  The others are compared with
-    the undeleted (``whole``) middle of lines that are one shorter.
-    """
-    shared = blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    blocks = blocks.join(shared, "key", "left_semi")
-    middle, key = F.col("middle"), F.col("key")
-    places = F.when(F.char_length(middle) > 0, F.sequence(F.lit(1), F.char_length(middle))).otherwise(
-        F.array().cast("array<int>")
-    )
-    without = lambda p: F.concat(F.left(middle, p - 1), F.substr(middle, p + 1))
-    longer = blocks.filter("is_longer")
-    at_place = F.transform(places, lambda p: F.xxhash64(key, p, without(p)))
-    deleted = F.transform(places, lambda p: F.xxhash64(key, F.lit(0), without(p)))
-    return (
-        longer.select("doc_id", "i", F.explode_outer(F.array_distinct(F.concat(at_place, deleted))).alias("variant"), F.lit(False).alias("whole"))
-        .filter("variant IS NOT NULL")
-        .unionByName(
-            blocks.filter("not is_longer").select(
-                "doc_id", "i", F.xxhash64(key, F.lit(0), middle).alias("variant"), F.lit(True).alias("whole")
-            )
-        )
-    )
+def _with_partner(keyed: DataFrame) -> DataFrame:
+    """The lines of ``doc_id, i, key`` that share a key with another row: ``doc_id, i``."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return keyed.join(shared, "key", "left_semi").select("doc_id", "i").distinct()
 
 
-def near_lines(texts: DataFrame) -> DataFrame:
-    """Lines within one edit of an earlier line: ``doc_id, i, keep_doc, keep_line``.
+def near_lines(texts: DataFrame, edits: int = 1) -> DataFrame:
+    """Lines within ``edits`` of an earlier line: ``doc_id, i, keep_doc, keep_line``.
 
     ``texts`` has one row per distinct line, ``doc_id, i, line``.  Earlier means by
     document id, then line number; it does not matter whether the earlier line stays.
     """
-    variants = materialise(_variants(_block_keys(texts)))
     place = F.struct("doc_id", "i")
-    hubs = variants.groupBy("variant").agg(
-        F.min(F.when(~F.col("whole"), place)).alias("first"), F.min(F.when(F.col("whole"), place)).alias("short"), F.count("*").alias("n")
-    )
-    hubs = hubs.filter("n > 1").drop("n")
-    pairs = variants.filter("not whole").join(hubs, "variant").select(
-        place.alias("a"), F.explode(F.array("first", "short")).alias("b")
-    )
-    pairs = pairs.filter("b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    keyed = texts.select("doc_id", "i", F.explode(F.array_distinct(F.array(*_part_keys(F.col("line"), edits, edits + 2)))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members = materialise(keyed.join(shared, "key", "left_semi").select("key", place.alias("place")))
+    pairs = members.select("key", F.col("place").alias("a")).join(members.select("key", F.col("place").alias("b")), "key")
+    pairs = pairs.filter("b < a").select("a", "b").distinct()
     left = texts.select(place.alias("a"), F.col("line").alias("line_a"))
     right = texts.select(place.alias("b"), F.col("line").alias("line_b"))
-    checked = pairs.join(left, "a").join(right, "b").filter(F.levenshtein("line_a", "line_b", EDITS).between(0, EDITS))
+    checked = pairs.join(left, "a").join(right, "b").filter(F.levenshtein("line_a", "line_b", edits).between(0, edits))
     found = checked.groupBy("a").agg(F.min("b").alias("b"))
     return found.select("a.doc_id", "a.i", F.col("b.doc_id").alias("keep_doc"), F.col("b.i").alias("keep_line"))
 
 
 def repeated_lines(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, near_chars: int = 20
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, near_chars: int = 20, edits: int = 1
 ) -> DataFrame:
     """The lines to drop, one row per document with any: ``doc_id, equal, near`` (line numbers).
 
     A line, without blanks at its ends, goes if an equal line occurs earlier, or one within
-    one edit (insertion, deletion or substitution of a character).  Earlier means a smaller
+    ``edits`` (insertion, deletion or substitution of a character).  Earlier means a smaller
     document id, then a smaller line number, counted from 0.  Lines below ``min_chars`` stay;
     lines below ``near_chars`` are only compared for equality.
 
-    Near lines come from a deletion-neighbourhood join on hashed keys, first with a half of
-    the line deleted, then a block, then a character, so that full neighbourhoods are
-    emitted for possible partners alone; no pair within the bound is lost on the way.  Edit
-    distance is verified on the lines.  Members of a group are joined with its earliest
-    line only, never with each other.  Equal lines are counted inside the tasks first, and
-    the joins by line are plain equi-joins, which Spark splits for a hot line.
+    Candidates for near lines come from intact segments: of ``edits + 1`` segments one is
+    intact, which chooses the lines whose texts travel; of ``edits + 2`` two are, which chooses
+    the pairs.  No pair within the bound is lost on the way, and edit distance is verified on
+    the lines.  Pairs grow with the square of the distinct lines that have two segments in
+    common.  Equal lines are counted inside the tasks first, and the joins by line are
+    plain equi-joins, which Spark splits for a hot line.
 
     Documents with null id or text are left alone.  Rows that share an id are taken as
     one document: what is first in one of them is first in all.
@@ -168,15 +129,17 @@ def repeated_lines(
     table = _line_marks(docs, text, doc_id, min_chars)
     # Outer: for a plain explode Spark adds a filter on the array and computes it once more there.
     occurrences = table.select("doc_id", F.explode_outer("firsts").alias("f")).filter("f IS NOT NULL").select("doc_id", "f.*")
-    keys = F.when(F.char_length("line") >= near_chars, _half_keys(F.col("line")))
+    parts = {f"k{n}": F.when(F.char_length("line") >= near_chars, key) for n, key in enumerate(_part_keys(F.col("line"), edits, edits + 1))}
     lines = materialise(
-        occurrences.select("doc_id", "h1", "h2", "i", *(F.get(keys, F.lit(n)).alias(f"k{n}") for n in range(4)))
+        occurrences.select("doc_id", "h1", "h2", "i", *(key.alias(n) for n, key in parts.items()))
         .groupBy("h1", "h2")
-        .agg(F.min_by("i", "doc_id").alias("i"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(f"k{n}").alias(f"k{n}") for n in range(4)))
+        .agg(F.min_by("i", "doc_id").alias("i"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(n).alias(n) for n in parts))
+    )
+    wanted = _with_partner(
+        lines.filter("k0 IS NOT NULL").select("doc_id", "i", F.explode(F.array_distinct(F.array(*parts))).alias("key"))
     )
-    wanted = _near_candidates(lines.filter("k0 IS NOT NULL").withColumn("keys", F.array("k0", "k1", "k2", "k3")))
-    texts = materialise(occurrences.select("doc_id", "i", "line").join(wanted, ["doc_id", "i"]).distinct())
-    near = near_lines(texts)
+    texts = materialise(occurrences.select("doc_id", "i", "line").join(materialise(wanted), ["doc_id", "i"]).distinct())
+    near = near_lines(texts, edits)
     shared = lines.filter("n > 1").select("h1", "h2", F.col("doc_id").alias("keep_doc"))
     equal = occurrences.select("doc_id", "h1", "h2", "i").join(shared, ["h1", "h2"]).filter("doc_id != keep_doc")
     inside = table.select("doc_id", F.explode_outer("repeats").alias("i")).filter("i IS NOT NULL")

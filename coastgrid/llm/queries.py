@@ -31,7 +31,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"), edits=line_dedup.EDITS)
     return cleaned.select("doc_id", "lines", "equal_lines", "near_lines", exact_dedup.sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 

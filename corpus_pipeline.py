@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document or line has; documents of nothing else go."""
-    cleaned = line_dedup.drop_repeated_lines(docs)
+    """Texts without lines that an earlier document or line has, up to two edits; documents of nothing else go."""
+    cleaned = line_dedup.drop_repeated_lines(docs, edits=line_dedup.EDITS)
     return _with_text(cleaned.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 

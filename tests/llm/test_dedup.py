@@ -222,3 +222,31 @@ def test_lines_of_odd_rows(table):
     got = line_dedup.drop_repeated_lines(docs).collect()
     assert sorted((r["doc_id"] or 0, r["text"][:6], len(r["text"])) for r in got) == [(0, "a line", 35), (1, "a line", 35), (1, "a line", 35), (2, "kkkkkk", 300_000)]
     assert set(docs.columns) <= set(line_dedup.drop_repeated_lines(docs).columns)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for n, x in enumerate(a, 1):
+        before, row[0] = row[0], n
+        for m, y in enumerate(b, 1):
+            before, row[m] = row[m], min(row[m] + 1, row[m - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_within_some_edits_equal_brute_force(table, edits):
+    rng = random.Random(10 + edits)
+    pool = [sentence(rng, rng.randrange(3, 8))[:60].strip() for _ in range(8)] + ["ünï " * 6 + "x", "z" * 20, "z" * 24, "ab" * 12]
+    lines = []
+    for _ in range(220):
+        line = rng.choice(pool)
+        for _ in range(rng.randrange(6)):
+            at, kind = rng.randrange(len(line)), rng.randrange(3)
+            line = [line[:at] + line[at + 1 :], line[:at] + "q" + line[at:], line[:at] + "é" + line[at + 1 :]][kind]
+        lines.append(line)
+    lines = list(dict.fromkeys(lines))
+    want = {
+        n for n, a in enumerate(lines) if len(a) >= 20 and any(len(b) >= 20 and edit_distance(a, b) <= edits for b in lines[:n])
+    }
+    got = line_dedup.drop_repeated_lines(table(lines), edits=edits).collect()
+    assert {r["doc_id"] for r in got if r["near_lines"]} == want and sum(r["equal_lines"] for r in got) == 0

@@ -61,3 +61,10 @@ def test_near_stage_links_from_four_fifths_on(spark):
             want |= {at + 2 * n} if at == 0 else {at + 2 * n, at + 2 * n + 1}
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, schema), SF).collect()
     assert {r["doc_id"] for r in got} == want
+
+
+def test_line_stage_drops_a_line_with_another_year(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(n, f"own words {n}\nAll rights reserved, {year} edition", "en", "s", 1) for n, year in enumerate((2019, 2023))]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {0: rows[0][1], 1: "own words 1"}
