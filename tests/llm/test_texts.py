@@ -159,6 +159,27 @@ def test_personal_data_keeps_base_spans(odd, documents):
     assert personal_data.find_personal_data(empty, personal_data.fit_from_sample(empty)).count() == 0
 
 
+@pytest.fixture(scope="session")
+def personal_model(documents):
+    return personal_data.fit_from_sample(documents)
+
+
+def redacted_by(model, text):
+    base = personal_data.base_spans(text)
+    return personal_data.redact(text, base + model.extra(text, base))
+
+
+@needs_tables
+@pytest.mark.parametrize("address", ["jürgen.müller@firma.de", "josé.garcía@example.com", "françois@exemple.fr", "anna@müller.de"])
+def test_addresses_with_accents_are_redacted_whole(personal_model, address):
+    assert redacted_by(personal_model, f"Please write to {address} for more.") == "Please write to <email> for more."
+
+
+@needs_tables
+def test_an_address_does_not_swallow_the_next_sentence(personal_model):
+    assert redacted_by(personal_model, "Mail anna@example.com. Then wait for us.") == "Mail <email>. Then wait for us."
+
+
 def test_overlapping_spans_are_redacted_as_one():
     assert personal_data.redact("call +1 22 33 44 55 66", [(3, 5, 18), (2, 6, 22)]).count("<") == 1
 
