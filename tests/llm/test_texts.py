@@ -180,6 +180,32 @@ def test_an_address_does_not_swallow_the_next_sentence(personal_model):
     assert redacted_by(personal_model, "Mail anna@example.com. Then wait for us.") == "Mail <email>. Then wait for us."
 
 
+@needs_tables
+@pytest.mark.parametrize(
+    "kind, inside",
+    [
+        ("email", "anna (at) example.com"),
+        ("ip", "192 . 168 . 10 . 44"),
+        ("ip", "192,168,10,44"),
+        ("ip", "2001:db8:85a3:1:2:8a2e:370:7334"),
+        ("card", "4111/1111/1111/1111"),
+        ("card", "378282246310005"),
+        ("card", "3782 822463 10005"),
+        ("phone", "030 123 4567"),
+        ("phone", "(030) 123-4567"),
+        ("phone", "004930123456"),
+    ],
+)
+def test_each_generator_is_selected_in_plain_context(personal_model, kind, inside):
+    assert redacted_by(personal_model, f"You can use {inside} for this.") == f"You can use <{kind}> for this."
+
+
+@needs_tables
+@pytest.mark.parametrize("inside", ["12, 40, 53, 64", "12:34:56:10", "378282246310006", "2011-04-17", "1 234 567", "1999 2003 2007"])
+def test_numbers_in_no_personal_format_stay(personal_model, inside):
+    assert redacted_by(personal_model, f"You can use {inside} for this.") == f"You can use {inside} for this."
+
+
 def test_overlapping_spans_are_redacted_as_one():
     assert personal_data.redact("call +1 22 33 44 55 66", [(3, 5, 18), (2, 6, 22)]).count("<") == 1
 
