@@ -21,8 +21,6 @@ SOFTENING = 0.05
 #: Standard deviation that each transformed statistic has at least.  Ratios of repeats are
 #: zero in most documents; a quoted line or two must not count as far away.
 FLOORS = (0.1, 0.15, 0.15, 0.08, 0.12)
-#: Documents of fewer words deviate by chance; their distance shrinks by n / (n + SHORT).
-SHORT = 50.0
 #: Bins per unit of log(1 + squared distance), and of a statistic for its median.
 DISTANCE_BINS = 200
 VALUE_BINS = 200
@@ -263,7 +261,8 @@ def quality_rules(
     the other such documents of their language and source.  Minimum-covariance-determinant
     estimates come from C-steps on binned distances, from a median start, until no
     determinant shrinks by more than 0.1 % or after ``steps``.  A document is rejected when
-    its squared Mahalanobis distance exceeds the chi-square quantile at ``1 - tail``.
+    its squared Mahalanobis distance, as it is for texts of any length, exceeds the chi-square
+    quantile at ``1 - tail``: 35.9 for the default.
     Variances have a floor, since most documents have no repeated line at all and the
     covariance of the core would be singular.
 
@@ -293,9 +292,7 @@ def quality_rules(
         if step and (largest is None or largest < 5e-4):
             break
 
-    judged = _measured(passed, estimates).withColumn(
-        "distance", F.col("d2") * F.col("n_words") / (F.col("n_words") + SHORT)
-    )
+    judged = _measured(passed, estimates).withColumnRenamed("d2", "distance")
     keep = F.coalesce(F.col("distance") <= chi_square_quantile(1 - tail, p), F.lit(True))
     columns = ["doc_id", *BASE, "base_failed"]
     judged = judged.select(*columns, keep.alias("kept"), "distance")

@@ -250,6 +250,21 @@ def test_quality_rejects_an_outlier_and_keeps_the_rest(odd):
     assert quality_rules.quality_rules(odd([])).count() == 0
 
 
+@needs_tables
+def test_quality_catches_junk_of_every_length(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality IS NOT NULL").select("doc_id", "quality")
+    rows = quality_rules.quality_rules(documents).filter("not base_failed").join(labels, "doc_id").collect()
+    lost = {}
+    for longest in (100, 200, 10**9):
+        shortest = {100: 0, 200: 100, 10**9: 200}[longest]
+        own = [r for r in rows if shortest < r["n_words"] <= longest]
+        junk, clean = ([r for r in own if r["quality"] == q] for q in (0, 1))
+        lost[longest] = (sum(r["kept"] for r in junk), len(junk), sum(not r["kept"] for r in clean), len(clean))
+    print("words up to: junk kept, junk, clean lost, clean:", lost)
+    # The long one is in a pool too small to be judged.
+    assert all(lost[n][0] <= most and lost[n][2] == 0 for n, most in ((100, 1), (200, 0), (10**9, 1)))
+
+
 @needs_tables
 def test_toxicity_on_held_out_labels(spark, odd, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
