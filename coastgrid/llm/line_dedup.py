@@ -1,8 +1,10 @@
-"""Repeated and nearly repeated lines across documents, by intact segments."""
+"""Repeated and nearly repeated lines across documents, by deletion neighbourhoods."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations, product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,34 +21,27 @@ def _hashed(line: Column, tag: int) -> Column:
     return F.xxhash64(F.lit(tag), line)
 
 
-def _line_marks(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
-    """One row per document: the first place of each distinct line with the line, and later places.
+def _occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int, near_chars: int, edits: int) -> DataFrame:
+    """One row per line of ``min_chars``: ``doc_id, i, h1, h2, again, keys``.
 
-    Two seeded 64-bit hashes of the trimmed line stand for it.
+    Two seeded 64-bit hashes of the trimmed line stand for it; ``again`` marks lines that the
+    document has before.  ``keys`` are those of ``_part_keys``, null below ``near_chars`` and for ``again``.
     """
     rows = narrow(docs, doc_id=doc_id, text=text).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = rows.select("doc_id", F.split("text", "\n").alias("lines"))
-    rows = rows.withColumn(
-        "marks",
-        F.sort_array(
-            F.transform(
-                F.filter(
-                    F.transform("lines", lambda x, i: F.struct(F.btrim(x, F.lit(BLANK_CHARS)).alias("x"), i.alias("i"))),
-                    lambda s: F.char_length(s["x"]) >= min_chars,
-                ),
-                lambda s: F.struct(
-                    _hashed(s["x"], 1).alias("h1"), _hashed(s["x"], 2).alias("h2"), s["i"].alias("i"), s["x"].alias("line")
-                ),
-            )
-        ),
-    )
+    trimmed = F.transform("lines", lambda x, i: F.struct(F.btrim(x, F.lit(BLANK_CHARS)).alias("x"), i.alias("i")))
+    sized = F.filter(F.transform(trimmed, lambda s: F.struct(s["x"].alias("x"), s["i"].alias("i"), F.char_length(s["x"]).alias("n"))), lambda s: s["n"] >= min_chars)
+    hashed = F.transform(sized, lambda s: F.struct(_hashed(s["x"], 1).alias("h1"), _hashed(s["x"], 2).alias("h2"), s["i"].alias("i"), s["n"].alias("n"), s["x"].alias("x")))
+    rows = rows.select("doc_id", F.sort_array(hashed).alias("marks"))
     marks = F.col("marks")
     again = lambda s, k: s["h1"].eqNullSafe(F.get(marks, k - 1)["h1"]) & s["h2"].eqNullSafe(F.get(marks, k - 1)["h2"])
-    return rows.select(
-        "doc_id",
-        F.filter(marks, lambda s, k: ~again(s, k)).alias("firsts"),
-        F.transform(F.filter(marks, again), lambda s: s["i"]).alias("repeats"),
-    )
+    flagged = F.transform(marks, lambda s, k: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"), s["i"].alias("i"), s["n"].alias("n"), again(s, k).alias("again"), s["x"].alias("x")))
+    # Outer: for a plain explode Spark adds a filter on the array and computes it once more there.
+    exploded = rows.select("doc_id", F.explode_outer(flagged).alias("f")).filter("f IS NOT NULL").select("doc_id", "f.*")
+    # Four bytes a code point: a part is then cut out in place instead of counted from the start.
+    wide = exploded.withColumn("x", F.when((F.col("n") >= near_chars) & ~F.col("again"), F.encode("x", "UTF-32")))
+    keys = F.when(F.col("x").isNotNull(), F.array(*_part_keys(F.col("x"), F.col("n"), edits, edits + 1, width=4)))
+    return wide.select("doc_id", "i", "h1", "h2", "again", keys.alias("keys"))
 
 
 def _shared_parts(edits: int, segments: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
@@ -66,25 +61,146 @@ def _shared_parts(edits: int, segments: int) -> list[tuple[int, tuple[int, ...],
     return sorted(found)
 
 
-def _part_keys(line: Column, edits: int, segments: int) -> list[Column]:
-    """Keys of which any two lines within ``edits`` have one in common.
+def _edge(longer: Column, n: int, segments: int) -> Column:
+    """Where segment ``n`` of a line of ``longer`` characters begins."""
+    return F.floor(longer * n / segments).cast("int")
+
 
-    A line takes part as the longer one (keys without shifts) and as the shorter one.
+def _part_keys(line: Column, size: Column, edits: int, segments: int, width: int = 1) -> list[Column]:
+    """Keys of which any two lines within ``edits`` have one in common, in the order of ``_shared_parts``.
+
+    A line takes part as the longer one (keys without shifts) and as the shorter one.  It has
+    ``size`` characters of ``width`` bytes, or of any size in a string.  Keys whose segments would
+    reach over an end of it, or into each other, are null.
     """
     keys = []
     for lack, intact, shifts in _shared_parts(edits, segments):
-        longer = F.char_length(line) + lack
-        edge = lambda n, longer=longer: F.floor(longer * n / segments).cast("int")
-        parts = [F.substr(line, edge(n) - shift + 1, edge(n + 1) - edge(n)) for n, shift in zip(intact, shifts)]
+        longer = size + lack
+        parts = [
+            F.substr(line, (_edge(longer, n, segments) - shift) * width + 1, (_edge(longer, n + 1, segments) - _edge(longer, n, segments)) * width)
+            for n, shift in zip(intact, shifts)
+        ]
         # Long parts and short ones alike are as long as the longer line says, so no mark is put between them.
-        keys.append(F.xxhash64(F.lit(".".join(map(str, intact))), longer, *parts))
+        key = F.xxhash64(F.lit(".".join(map(str, intact))), longer, *parts)
+        runs = zip((-1, *intact), (*intact, segments), (0, *shifts), (*shifts, lack))
+        fits = [_edge(longer, after, segments) - _edge(longer, before + 1, segments) >= d for before, after, s, s_after in runs if (d := s_after - s) > 0]
+        keys.append(F.when(reduce(and_, fits), key) if fits else key)
     return keys
 
 
-def _with_partner(keyed: DataFrame) -> DataFrame:
-    """The lines of ``doc_id, i, key`` that share a key with another row: ``doc_id, i``."""
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return keyed.join(shared, "key", "left_semi").select("doc_id", "i").distinct()
+def _open_parts(line: Column, size: Column, edits: int, segments: int) -> Column:
+    """Per key of ``_part_keys``, what lies between its intact segments: an array of ``t, e, d``.
+
+    ``t`` is the text of a run of taken segments, ``e`` the edits it may hold, ``d`` how many
+    characters it lacks against the longer line.
+    """
+    choices = []
+    for lack, intact, shifts in _shared_parts(edits, segments):
+        longer = size + lack
+        parts = []
+        for before, after, shift, shift_after in zip((-1, *intact), (*intact, segments), (0, *shifts), (*shifts, lack)):
+            if after - before > 1:
+                start = _edge(longer, before + 1, segments) - shift
+                stop = _edge(longer, after, segments) - shift_after
+                parts.append(
+                    F.struct(
+                        F.substr(line, start + 1, F.greatest(stop - start, F.lit(0))).alias("t"),
+                        F.lit(after - before - 1).alias("e"),
+                        F.lit(shift_after - shift).alias("d"),
+                    )
+                )
+        choices.append(F.array(*parts))
+    return F.array(*choices)
+
+
+def _halved(slot: int, edits: int) -> Column:
+    """The ways to cut the part ``t, e, d`` of ``size`` characters in two: array of ``tag, same, shifted, next``, or null.
+
+    The longer line is cut in the middle and the edits are dealt to the halves; a half
+    without edits is the same in both lines (``same``) and is no part any more.  A part of which the
+    longer line has one character at most stays as it is.
+    """
+    t, e, d, size = F.col("t"), F.col("e"), F.col("d"), F.col("size")
+    whole = size + d
+    middle = F.floor(whole / 2).cast("int")
+    cut = lambda start, length: F.substr(t, start + 1, length)
+    new = lambda t, e, d: F.struct(t.alias("t"), e.alias("e"), d.alias("d"))
+
+    def way(possible: Column, tag: str, same: Column, shifted: bool, *parts: Column) -> Column:
+        told = F.struct(F.lit(f"{slot}{tag}").alias("tag"), F.concat_ws("", whole.cast("string"), F.lit(":"), same).alias("same"), F.lit(shifted).alias("shifted"))
+        return F.when(possible, F.struct(told["tag"], told["same"], told["shifted"], F.array(*parts).alias("next")))
+
+    ways = [
+        way(whole <= 1, "", F.lit(""), False, new(t, e, d)),
+        way((whole > 1) & (size >= middle), "r", F.left(t, middle), False, new(cut(middle, size - middle), e, d)),
+        way((whole > 1) & (size >= whole - middle), "l", F.right(t, whole - middle), False, new(F.left(t, size - whole + middle), e, d)),
+    ]
+    for left in range(1, edits):
+        for c in range(-left, left + 1):
+            at = middle + c
+            possible = (whole > 1) & (e > left) & (F.abs(d + c) <= e - left) & (at >= 0) & (at <= size)
+            ways.append(way(possible, f"b{left}", F.lit(""), c != 0, new(F.left(t, at), F.lit(left), F.lit(-c)), new(cut(at, size - at), e - left, d + c)))
+    return F.array(*ways)
+
+
+def _last_letters(part: Column, slot: int) -> Column:
+    """The ways to delete what is left of a part, of which the longer line has one character at most: array of ``tag, same``.
+
+    Either all of it is deleted, or one character stays and the rest was inserted around it.
+    """
+    t, e = part["t"], part["e"]
+    size = F.char_length(t)
+    gone = F.when((size + part["d"] == 0) | (size <= e), F.struct(F.lit(f"{slot}").alias("tag"), F.lit("").alias("same")))
+    letters = F.when((size + part["d"] == 1) & (size > 0), F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(letters, lambda p: F.struct(F.lit(f"{slot}k").alias("tag"), F.substr(t, p, F.lit(1)).alias("same")))
+    return F.concat(F.filter(F.array(gone), lambda w: w.isNotNull()), F.array_distinct(kept))
+
+
+def _with_partner(rows: DataFrame) -> DataFrame:
+    """The rows whose key another line has too, one of them unmoved; written."""
+    shared = rows.groupBy("key").agg(F.min("place").alias("_a"), F.max("place").alias("_b"), F.min("moved").alias("_m"))
+    return materialise(rows.join(shared.filter("_a < _b AND NOT _m").select("key"), "key", "left_semi"))
+
+
+def _deletions(texts: DataFrame, edits: int) -> DataFrame:
+    """The variants of lines that some other line may share: ``place, variant, moved``.
+
+    A variant is a line with up to ``edits`` characters deleted, as a hash that also knows
+    between which parts of the longer line they were deleted.  ``moved`` is false where the line is itself
+    cut like the longer one.  A line and an unmoved one with an equal variant are within ``edits``,
+    and any two lines within ``edits`` have one.
+
+    Variants are not emitted at once.  Deletions are narrowed down by halves, from quarters of the line to
+    characters, and a way that no other line shares is given up, so that long lines have few.
+    """
+    segments = edits + 2
+    place, size = F.struct("doc_id", "i").alias("place"), F.char_length("line")
+    told = [F.lit(bool(lack or any(shifts))) for lack, _, shifts in _shared_parts(edits, segments)]
+    keyed = texts.select(place, F.posexplode(F.array(*_part_keys(F.col("line"), size, edits, segments))).alias("way", "key"))
+    keyed = _with_partner(keyed.filter("key IS NOT NULL").withColumn("moved", F.get(F.array(*told), F.col("way"))))
+    rows = keyed.join(texts.select(place, "line"), "place").select("place", "key", "moved", F.get(_open_parts(F.col("line"), size, edits, segments), F.col("way")).alias("parts"))
+    longest = texts.agg(F.max(size)).first()[0] or 0
+    for _ in range((2 * longest).bit_length()):
+        rows = rows.withColumn("done", F.array().cast(rows.schema["parts"].dataType))
+        for slot in range(edits):
+            part = F.get("parts", F.lit(slot))
+            rows = rows.select("*", part["t"].alias("t"), part["e"].alias("e"), part["d"].alias("d"))
+            rows = rows.withColumn("size", F.char_length("t")).withColumn("none", F.size("parts") <= slot)
+            rows = rows.withColumn("way", F.explode_outer(F.when(~F.col("none"), _halved(slot, edits)))).filter(F.col("none") | F.col("way").isNotNull())
+            rows = rows.select(
+                "place",
+                F.when(F.col("none"), F.col("key")).otherwise(F.xxhash64("key", "way.tag", "way.same")).alias("key"),
+                (F.col("moved") | F.coalesce("way.shifted", F.lit(False))).alias("moved"),
+                "parts",
+                F.when(F.col("none"), F.col("done")).otherwise(F.concat("done", "way.next")).alias("done"),
+            )
+        rows = _with_partner(rows.select("place", "key", "moved", F.col("done").alias("parts")))
+        if rows.filter(F.exists("parts", lambda p: F.char_length(p["t"]) + p["d"] > 1)).isEmpty():
+            break
+    for slot in range(edits):
+        rows = rows.withColumn("w", F.explode_outer(_last_letters(F.get("parts", F.lit(slot)), slot)))
+        rows = rows.filter(F.col("w").isNotNull() | (F.size("parts") <= slot)).withColumn("key", F.xxhash64("key", "w.tag", "w.same"))
+    return rows.select("place", F.col("key").alias("variant"), "moved")
 
 
 def near_lines(texts: DataFrame, edits: int = 1) -> DataFrame:
@@ -92,13 +208,21 @@ def near_lines(texts: DataFrame, edits: int = 1) -> DataFrame:
 
     ``texts`` has one row per distinct line, ``doc_id, i, line``.  Earlier means by
     document id, then line number; it does not matter whether the earlier line stays.
+
+    Each line meets the earliest unmoved holder of each of its variants, and an unmoved one the earliest
+    moved holder too.  That is enough, since all of them are within ``edits``; so pairs grow with the
+    variants and never with the square of a group.  Distance is verified on the lines.
     """
+    variants = materialise(_deletions(texts, edits).distinct())
+    hubs = variants.groupBy("variant").agg(
+        F.min(F.when(~F.col("moved"), F.col("place"))).alias("first"), F.min(F.when(F.col("moved"), F.col("place"))).alias("first_moved"), F.count("*").alias("n")
+    )
+    met = variants.join(hubs.filter("n > 1").drop("n"), "variant").select(
+        F.col("place").alias("a"), F.explode(F.array("first", F.when(~F.col("moved"), F.col("first_moved")))).alias("b")
+    )
+    # Two hubs a line at most for each variant; the distinct ones are compared in full.
+    pairs = met.filter("b < a").distinct()
     place = F.struct("doc_id", "i")
-    keyed = texts.select("doc_id", "i", F.explode(F.array_distinct(F.array(*_part_keys(F.col("line"), edits, edits + 2)))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = materialise(keyed.join(shared, "key", "left_semi").select("key", place.alias("place")))
-    pairs = members.select("key", F.col("place").alias("a")).join(members.select("key", F.col("place").alias("b")), "key")
-    pairs = pairs.filter("b < a").select("a", "b").distinct()
     left = texts.select(place.alias("a"), F.col("line").alias("line_a"))
     right = texts.select(place.alias("b"), F.col("line").alias("line_b"))
     checked = pairs.join(left, "a").join(right, "b").filter(F.levenshtein("line_a", "line_b", edits).between(0, edits))
@@ -106,6 +230,19 @@ def near_lines(texts: DataFrame, edits: int = 1) -> DataFrame:
     return found.select("a.doc_id", "a.i", F.col("b.doc_id").alias("keep_doc"), F.col("b.i").alias("keep_line"))
 
 
+def _possible_partners(firsts: DataFrame) -> DataFrame:
+    """``h1`` of the lines that share a key of ``firsts`` (``h1, keys``) with another line.
+
+    Keys are counted inside the tasks first.  The smallest and largest line of a key are all there is
+    when two rows have it; only keys of more rows are joined back.
+    """
+    keyed = firsts.select("h1", F.explode("keys").alias("key")).filter("key IS NOT NULL")
+    shared = materialise(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("n")).filter("a < b"))
+    pairs = shared.filter("n = 2").select(F.explode(F.array("a", "b")).alias("h1"))
+    many = keyed.join(shared.filter("n > 2").select("key"), "key", "left_semi").select("h1")
+    return pairs.unionByName(many).distinct()
+
+
 def repeated_lines(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, near_chars: int = 20, edits: int = 1
 ) -> DataFrame:
@@ -114,35 +251,31 @@ def repeated_lines(
     A line, without blanks at its ends, goes if an equal line occurs earlier, or one within
     ``edits`` (insertion, deletion or substitution of a character).  Earlier means a smaller
     document id, then a smaller line number, counted from 0.  Lines below ``min_chars`` stay;
-    lines below ``near_chars`` are only compared for equality.
+    lines below ``near_chars`` are only compared for equality.  Both may be 1.
 
-    Candidates for near lines come from intact segments: of ``edits + 1`` segments one is
-    intact, which chooses the lines whose texts travel; of ``edits + 2`` two are, which chooses
-    the pairs.  No pair within the bound is lost on the way, and edit distance is verified on
-    the lines.  Pairs grow with the square of the distinct lines that have two segments in
-    common.  Equal lines are counted inside the tasks first, and the joins by line are
-    plain equi-joins, which Spark splits for a hot line.
+    Near lines come from a deletion-neighbourhood join on hashed variants (``near_lines``).  Only lines take
+    part that share one of ``edits + 1`` segments, shifted by up to ``edits``, with another line;
+    no pair within the bound is lost on the way.  Texts are read once for the hashes of all lines, which are
+    written, and once more for the lines that may have a partner.  Equal lines are counted
+    inside the tasks first, and the joins by line are plain equi-joins, which Spark splits for a hot line.
 
     Documents with null id or text are left alone.  Rows that share an id are taken as
     one document: what is first in one of them is first in all.
     """
-    table = _line_marks(docs, text, doc_id, min_chars)
-    # Outer: for a plain explode Spark adds a filter on the array and computes it once more there.
-    occurrences = table.select("doc_id", F.explode_outer("firsts").alias("f")).filter("f IS NOT NULL").select("doc_id", "f.*")
-    parts = {f"k{n}": F.when(F.char_length("line") >= near_chars, key) for n, key in enumerate(_part_keys(F.col("line"), edits, edits + 1))}
+    every = materialise(_occurrences(docs, text, doc_id, min_chars, near_chars, edits))
+    firsts = every.filter("NOT again").select("doc_id", "i", "h1", "h2", "keys")
     lines = materialise(
-        occurrences.select("doc_id", "h1", "h2", "i", *(key.alias(n) for n, key in parts.items()))
-        .groupBy("h1", "h2")
-        .agg(F.min_by("i", "doc_id").alias("i"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.min(n).alias(n) for n in parts))
-    )
-    wanted = _with_partner(
-        lines.filter("k0 IS NOT NULL").select("doc_id", "i", F.explode(F.array_distinct(F.array(*parts))).alias("key"))
+        firsts.groupBy("h1", "h2").agg(F.min_by("i", "doc_id").alias("i"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     )
-    texts = materialise(occurrences.select("doc_id", "i", "line").join(materialise(wanted), ["doc_id", "i"]).distinct())
-    near = near_lines(texts, edits)
+    wanted = lines.join(_possible_partners(firsts.filter("keys IS NOT NULL").select("h1", "keys")), "h1", "left_semi").select("doc_id", "i", "h1", "h2")
+    numbered = narrow(docs, doc_id=doc_id, text=text).join(materialise(wanted), "doc_id")
+    told = numbered.select("doc_id", "i", "h1", "h2", F.btrim(F.get(F.split("text", "\n"), F.col("i")), F.lit(BLANK_CHARS)).alias("line"))
+    # Of rows that share an id, the one that has the line there.
+    told = told.filter((F.col("h1") == _hashed(F.col("line"), 1)) & (F.col("h2") == _hashed(F.col("line"), 2)))
+    near = near_lines(materialise(told.select("doc_id", "i", "line").distinct()), edits)
     shared = lines.filter("n > 1").select("h1", "h2", F.col("doc_id").alias("keep_doc"))
-    equal = occurrences.select("doc_id", "h1", "h2", "i").join(shared, ["h1", "h2"]).filter("doc_id != keep_doc")
-    inside = table.select("doc_id", F.explode_outer("repeats").alias("i")).filter("i IS NOT NULL")
+    equal = firsts.select("doc_id", "h1", "h2", "i").join(shared, ["h1", "h2"]).filter("doc_id != keep_doc")
+    inside = every.filter("again").select("doc_id", "i")
     drops = (
         equal.select("doc_id", "i", F.lit(True).alias("equal"))
         .unionByName(inside.select("doc_id", "i", F.lit(True).alias("equal")))
