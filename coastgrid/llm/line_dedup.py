@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import accumulate, combinations, product
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,51 +156,65 @@ def _last_letters(part: Column, slot: int) -> Column:
     return F.concat(F.filter(F.array(gone), lambda w: w.isNotNull()), F.array_distinct(kept))
 
 
-def _with_partner(rows: DataFrame) -> DataFrame:
-    """The rows whose key another line has too, one of them unmoved; written."""
-    shared = rows.groupBy("key").agg(F.min("place").alias("_a"), F.max("place").alias("_b"), F.min("moved").alias("_m"))
-    return materialise(rows.join(shared.filter("_a < _b AND NOT _m").select("key"), "key", "left_semi"))
+def _open_distance(edits: int) -> Column:
+    """Edits between the open parts of two lines that are the same elsewhere, and more than ``edits`` if that is more."""
+    far = edits + 1
+    apart = [
+        F.when(F.size("parts") <= n, F.lit(0)).otherwise(
+            F.when((d := F.levenshtein(F.get("parts", F.lit(n))["t"], F.get("hub.parts", F.lit(n))["t"], edits)) < 0, far).otherwise(d)
+        )
+        for n in range(edits)
+    ]
+    return reduce(add, apart)
+
 
+def _with_hubs(rows: DataFrame, edits: int) -> DataFrame:
+    """The rows of ``key, place, moved, seeks, parts`` later than the first line of their key, with that line as ``b``; written.
 
-def _deletions(texts: DataFrame, edits: int) -> DataFrame:
-    """The variants of lines that some other line may share: ``place, variant, moved``.
+    Only keys are left where a row that seeks comes after another line, and one row is unmoved.
+    ``seeks`` ends where the first line is within ``edits``: no earlier one can be found by that key.
+    """
+    first = F.min(F.struct("place", "parts")).alias("hub")
+    hubs = rows.groupBy("key").agg(first, F.max(F.when(F.col("seeks"), F.col("place"))).alias("last"), F.min("moved").alias("all_moved"))
+    hubs = hubs.filter("hub.place < last AND NOT all_moved").select("key", "hub")
+    met = rows.join(hubs, "key").filter("place > hub.place").withColumn("near", _open_distance(edits) <= edits)
+    return materialise(met.select("key", "place", "moved", (F.col("seeks") & ~F.col("near")).alias("seeks"), "parts", F.when(F.col("seeks") & F.col("near"), F.col("hub.place")).alias("b")))
 
-    A variant is a line with up to ``edits`` characters deleted, as a hash that also knows
-    between which parts of the longer line they were deleted.  ``moved`` is false where the line is itself
-    cut like the longer one.  A line and an unmoved one with an equal variant are within ``edits``,
-    and any two lines within ``edits`` have one.
 
-    Variants are not emitted at once.  Deletions are narrowed down by halves, from quarters of the line to
-    characters, and a way that no other line shares is given up, so that long lines have few.
+def _narrowed(rows: DataFrame, edits: int) -> DataFrame:
+    """Every row in all ways to deal the edits of its parts to their halves, one row a way."""
+    rows = rows.withColumn("done", F.array().cast(rows.schema["parts"].dataType))
+    for slot in range(edits):
+        part = F.get("parts", F.lit(slot))
+        rows = rows.select("*", part["t"].alias("t"), part["e"].alias("e"), part["d"].alias("d"))
+        rows = rows.withColumn("size", F.char_length("t")).withColumn("none", F.size("parts") <= slot)
+        rows = rows.withColumn("way", F.explode_outer(F.when(~F.col("none"), _halved(slot, edits)))).filter(F.col("none") | F.col("way").isNotNull())
+        rows = rows.select(
+            "place",
+            "seeks",
+            F.when(F.col("none"), F.col("key")).otherwise(F.xxhash64("key", "way.tag", "way.same")).alias("key"),
+            (F.col("moved") | F.coalesce("way.shifted", F.lit(False))).alias("moved"),
+            "parts",
+            F.when(F.col("none"), F.col("done")).otherwise(F.concat("done", "way.next")).alias("done"),
+        )
+    return rows.select("key", "place", "moved", "seeks", F.col("done").alias("parts"))
+
+
+def _met_by_letters(rows: DataFrame, edits: int) -> DataFrame:
+    """``a, b``: lines whose parts are down to a character, by equal variants of those.
+
+    A line and an unmoved one with an equal variant are within ``edits``; two moved ones need not be.
+    So each line meets the earliest unmoved holder of a variant, and an unmoved one the earliest moved holder too.
     """
-    segments = edits + 2
-    place, size = F.struct("doc_id", "i").alias("place"), F.char_length("line")
-    told = [F.lit(bool(lack or any(shifts))) for lack, _, shifts in _shared_parts(edits, segments)]
-    keyed = texts.select(place, F.posexplode(F.array(*_part_keys(F.col("line"), size, edits, segments))).alias("way", "key"))
-    keyed = _with_partner(keyed.filter("key IS NOT NULL").withColumn("moved", F.get(F.array(*told), F.col("way"))))
-    rows = keyed.join(texts.select(place, "line"), "place").select("place", "key", "moved", F.get(_open_parts(F.col("line"), size, edits, segments), F.col("way")).alias("parts"))
-    longest = texts.agg(F.max(size)).first()[0] or 0
-    for _ in range((2 * longest).bit_length()):
-        rows = rows.withColumn("done", F.array().cast(rows.schema["parts"].dataType))
-        for slot in range(edits):
-            part = F.get("parts", F.lit(slot))
-            rows = rows.select("*", part["t"].alias("t"), part["e"].alias("e"), part["d"].alias("d"))
-            rows = rows.withColumn("size", F.char_length("t")).withColumn("none", F.size("parts") <= slot)
-            rows = rows.withColumn("way", F.explode_outer(F.when(~F.col("none"), _halved(slot, edits)))).filter(F.col("none") | F.col("way").isNotNull())
-            rows = rows.select(
-                "place",
-                F.when(F.col("none"), F.col("key")).otherwise(F.xxhash64("key", "way.tag", "way.same")).alias("key"),
-                (F.col("moved") | F.coalesce("way.shifted", F.lit(False))).alias("moved"),
-                "parts",
-                F.when(F.col("none"), F.col("done")).otherwise(F.concat("done", "way.next")).alias("done"),
-            )
-        rows = _with_partner(rows.select("place", "key", "moved", F.col("done").alias("parts")))
-        if rows.filter(F.exists("parts", lambda p: F.char_length(p["t"]) + p["d"] > 1)).isEmpty():
-            break
     for slot in range(edits):
         rows = rows.withColumn("w", F.explode_outer(_last_letters(F.get("parts", F.lit(slot)), slot)))
         rows = rows.filter(F.col("w").isNotNull() | (F.size("parts") <= slot)).withColumn("key", F.xxhash64("key", "w.tag", "w.same"))
-    return rows.select("place", F.col("key").alias("variant"), "moved")
+    variants = materialise(rows.select("place", F.col("key").alias("variant"), "moved", "seeks").distinct())
+    place = F.col("place")
+    hubs = variants.groupBy("variant").agg(F.min(F.when(~F.col("moved"), place)).alias("first"), F.min(F.when(F.col("moved"), place)).alias("first_moved"), F.count("*").alias("n"))
+    met = variants.filter("seeks").join(hubs.filter("n > 1").drop("n"), "variant")
+    met = met.select(place.alias("a"), F.explode(F.array("first", F.when(~F.col("moved"), F.col("first_moved")))).alias("b"))
+    return met.filter("b < a")
 
 
 def near_lines(texts: DataFrame, edits: int = 1) -> DataFrame:
@@ -209,38 +223,52 @@ def near_lines(texts: DataFrame, edits: int = 1) -> DataFrame:
     ``texts`` has one row per distinct line, ``doc_id, i, line``.  Earlier means by
     document id, then line number; it does not matter whether the earlier line stays.
 
-    Each line meets the earliest unmoved holder of each of its variants, and an unmoved one the earliest
-    moved holder too.  That is enough, since all of them are within ``edits``; so pairs grow with the
-    variants and never with the square of a group.  Distance is verified on the lines.
+    A variant is a line with up to ``edits`` stretches deleted, as a hash that knows where they
+    were.  Lines join the earliest holder of an equal variant, and what was deleted is compared.  Any two
+    lines within ``edits`` have an equal variant with half of the line deleted; where its first holder is too
+    far but another may match, the deletions are narrowed to halves of themselves, down to single characters, where
+    holders of one variant are within ``edits``.  So pairs grow with the variants and never with
+    the square of a group, and ways that no other line shares are given up.  Distance is verified on
+    the whole lines in the end.
     """
-    variants = materialise(_deletions(texts, edits).distinct())
-    hubs = variants.groupBy("variant").agg(
-        F.min(F.when(~F.col("moved"), F.col("place"))).alias("first"), F.min(F.when(F.col("moved"), F.col("place"))).alias("first_moved"), F.count("*").alias("n")
-    )
-    met = variants.join(hubs.filter("n > 1").drop("n"), "variant").select(
-        F.col("place").alias("a"), F.explode(F.array("first", F.when(~F.col("moved"), F.col("first_moved")))).alias("b")
-    )
-    # Two hubs a line at most for each variant; the distinct ones are compared in full.
-    pairs = met.filter("b < a").distinct()
-    place = F.struct("doc_id", "i")
-    left = texts.select(place.alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(place.alias("b"), F.col("line").alias("line_b"))
-    checked = pairs.join(left, "a").join(right, "b").filter(F.levenshtein("line_a", "line_b", edits).between(0, edits))
-    found = checked.groupBy("a").agg(F.min("b").alias("b"))
-    return found.select("a.doc_id", "a.i", F.col("b.doc_id").alias("keep_doc"), F.col("b.i").alias("keep_line"))
+    segments = edits + 2
+    place, size = F.struct("doc_id", "i"), F.char_length("line")
+    told = [F.lit(bool(lack or any(shifts))) for lack, _, shifts in _shared_parts(edits, segments)]
+    keyed = texts.select(place.alias("place"), F.posexplode(F.array(*_part_keys(F.col("line"), size, edits, segments))).alias("way", "key")).filter("key IS NOT NULL")
+    shared = keyed.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("key")
+    keyed = keyed.join(shared, "key", "left_semi").withColumns({"moved": F.get(F.array(*told), F.col("way")), "seeks": F.lit(True)})
+    opened = F.get(_open_parts(F.col("line"), size, edits, segments), F.col("way")).alias("parts")
+    rows = keyed.join(texts.select(place.alias("place"), "line"), "place").select("key", "place", "moved", "seeks", opened)
+    found = []
+    while True:
+        met = _with_hubs(materialise(rows), edits)
+        found.append(met.filter("b IS NOT NULL").select(F.col("place").alias("a"), "b"))
+        left = met.drop("b")
+        # What seekers may still meet: another line later than the first of their key.
+        worth = left.groupBy("key").agg(F.min("place").alias("a"), F.max(F.when(F.col("seeks"), F.col("place"))).alias("last")).filter("a < last")
+        left = left.join(worth.select("key"), "key", "left_semi")
+        widest = left.agg(F.max(F.array_max(F.transform("parts", lambda p: F.char_length(p["t"]) + p["d"])))).first()[0]
+        if widest is None:
+            break
+        if widest <= 1:
+            found.append(_met_by_letters(left, edits))
+            break
+        rows = _narrowed(left, edits)
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    lined = lambda name: texts.select(place.alias(name), F.col("line").alias(f"line_{name}"))
+    checked = pairs.join(lined("a"), "a").join(lined("b"), "b").filter(F.levenshtein("line_a", "line_b", edits).between(0, edits))
+    best = checked.groupBy("a").agg(F.min("b").alias("b"))
+    return best.select("a.doc_id", "a.i", F.col("b.doc_id").alias("keep_doc"), F.col("b.i").alias("keep_line"))
 
 
 def _possible_partners(firsts: DataFrame) -> DataFrame:
     """``h1`` of the lines that share a key of ``firsts`` (``h1, keys``) with another line.
 
-    Keys are counted inside the tasks first.  The smallest and largest line of a key are all there is
-    when two rows have it; only keys of more rows are joined back.
+    Keys are combined inside the tasks first; a hot one is split by the join.
     """
     keyed = firsts.select("h1", F.explode("keys").alias("key")).filter("key IS NOT NULL")
-    shared = materialise(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("n")).filter("a < b"))
-    pairs = shared.filter("n = 2").select(F.explode(F.array("a", "b")).alias("h1"))
-    many = keyed.join(shared.filter("n > 2").select("key"), "key", "left_semi").select("h1")
-    return pairs.unionByName(many).distinct()
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("key")
+    return keyed.join(shared, "key", "left_semi").select("h1").distinct()
 
 
 def repeated_lines(
