@@ -20,7 +20,7 @@ from coastgrid.errors import ValidationError, require
 from coastgrid.functions.session import materialise, summary_table
 from coastgrid.functions.tiles import TILE, TILE_COLUMNS, spread_to_tiles, with_neighbours
 from coastgrid.operators.grid import grid_spine
-from coastgrid.operators.interp import corner_quads, fractional_index
+from coastgrid.operators.interp import corner_quads, fractional_index, weighted_corners
 
 # Fixed values of the cleaning rules.
 GAP_FILL_PASSES = 10
@@ -441,10 +441,13 @@ def minimum_depth_floor(df: DataFrame, minimum_depth: float) -> DataFrame:
 
 
 def regrid_bathymetry(
-    native: DataFrame, native_domains: DataFrame, target_domains: DataFrame, passes: int = 1, minimum_depth: float = 0.0
+    native: DataFrame, native_domains: DataFrame, target_domains: DataFrame, passes: int = 1, minimum_depth: float = 0.0, size: int = TILE
 ) -> DataFrame:
     """Bilinear interpolation from a native grid to a target grid, then the depth floor.
 
+    Native cells are dealt out by tiles of ``size`` cells, so a domain spreads over its tiles.  A target
+    cell whose native corners have no row gets NULL.
+
     ``passes > 1`` goes through intermediate grids whose sizes step evenly from the
     native to the target size.  A domain keeps the sign of its interpolated height,
     so a coast does not move with the floor.
@@ -466,11 +469,11 @@ def regrid_bathymetry(
                 F.greatest(F.round(F.col("_ny") + part * (F.col("ny") - F.col("_ny"))).cast("int"), F.lit(2)).alias("ny"),
                 *box,
             )
-        source, source_domains = _resample(source, source_domains, goal), goal
+        source, source_domains = _resample(source, source_domains, goal, size), goal
     return minimum_depth_floor(source, minimum_depth)
 
 
-def _resample(cells: DataFrame, domains: DataFrame, goal: DataFrame) -> DataFrame:
+def _resample(cells: DataFrame, domains: DataFrame, goal: DataFrame, size: int) -> DataFrame:
     """One bilinear step; values are clamped at the outer cell centres of the source."""
     geometry = domains.select(
         "grid_id",
@@ -488,14 +491,6 @@ def _resample(cells: DataFrame, domains: DataFrame, goal: DataFrame) -> DataFram
     fy = F.greatest(F.lit(0.0), F.least(fy, (F.col("_ny") - 1).cast("double")))
     i0, wi = fractional_index(fx, F.col("_nx"))
     j0, wj = fractional_index(fy, F.col("_ny"))
-    nodes = nodes.select("grid_id", "nx", "ny", F.col("i").alias("_i"), F.col("j").alias("_j"),
-                         i0.alias("i"), j0.alias("j"), wi.alias("wi"), wj.alias("wj"))
-    quads = corner_quads(cells.select("grid_id", "i", "j", "h"), ["grid_id"], "h")
-    wi, wj = F.col("wi"), F.col("wj")
-    value = (
-        (1 - wi) * (1 - wj) * F.col("v00") + wi * (1 - wj) * F.col("v10")
-        + (1 - wi) * wj * F.col("v01") + wi * wj * F.col("v11")
-    )
-    return nodes.join(quads, ["grid_id", "i", "j"]).select(
-        "grid_id", "nx", "ny", F.col("_i").alias("i"), F.col("_j").alias("j"), value.alias("h")
-    )
+    nodes = nodes.select("grid_id", "nx", "ny", "i", "j", i0.alias("i0"), j0.alias("j0"), wi.alias("wi"), wj.alias("wj"))
+    quads = corner_quads(cells, nodes, None, ["grid_id"], [], "h", size)
+    return nodes.join(quads, ["grid_id", "i0", "j0"]).select("grid_id", "nx", "ny", "i", "j", weighted_corners(F.col).alias("h"))

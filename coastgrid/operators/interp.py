@@ -5,12 +5,17 @@ Source values are ``dataset, [variable, ts,] lev, i, j, value`` with 1-based i,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coastgrid.functions.columns import clamp, finite
+from coastgrid.functions.session import summary_table
+from coastgrid.functions.tiles import TILE, TILE_COLUMNS, tile_of
+
+#: The corners of a source cell, as ``v<east><north>``.
+CORNERS = ("v00", "v10", "v01", "v11")
 
 
 def fractional_index(fraction: Column, n: Column) -> tuple[Column, Column]:
@@ -120,26 +125,68 @@ def apply_weights(
     )
 
 
-def corner_quads(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Every source cell with the values of its east, north and north-east neighbours.
+def source_slabs(values: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """The slabs of a source, one row per ``(keys, carry)``; counted inside the tasks first."""
+    return values.select(*keys, *carry).distinct()
 
-    ``v00, v10, v01, v11``: the four corners a bilinear target needs, in one row, so
-    that interpolating is one equi-join without a regrouping of four rows per target.
-    Both windows share the partitioning on ``keys``.
-    """
-    along_i = Window.partitionBy(*keys, "j").orderBy("i")
-    along_j = Window.partitionBy(*keys, "i").orderBy("j")
-    east = F.when(F.lead("i").over(along_i) == F.col("i") + 1, F.lead(value).over(along_i))
 
-    def north(column: str) -> Column:
-        return F.when(F.lead("j").over(along_j) == F.col("j") + 1, F.lead(column).over(along_j))
+def corner_quads(
+    values: DataFrame,
+    cells: DataFrame,
+    slabs: DataFrame | None,
+    keys: Sequence[str],
+    carry: Sequence[str],
+    value: str = "value",
+    size: int = TILE,
+) -> DataFrame:
+    """The four corners of every asked-for source cell in one row: ``keys, carry, i0, j0, v00, v10, v01, v11``.
+
+    ``cells`` (``keys, i0, j0``) are the lower left corners some target needs, ``slabs`` the
+    ``(keys, carry)`` to expect, of no use without ``carry``.  Every cell gets a row in every slab of its keys; a corner
+    whose source row is missing is NULL, whichever of the four it is.
 
-    return (
-        values.repartition(*keys)
-        .withColumns({"v00": F.col(value), "v10": east})
-        .withColumns({"v01": north("v00"), "v11": north("v10")})
-        .drop(value)
+    Source rows go to the tile of ``size`` cells that holds the lower left corners they belong to, and
+    along a tile's lower borders to the tile before too.  They are dealt out by slab and tile, so a slab of any
+    extent spreads over its tiles, and only then take their up to four places.
+    """
+    roles = F.array(*[F.struct((F.col("i") - di).alias("i0"), (F.col("j") - dj).alias("j0"), F.lit(f"v{di}{dj}").alias("_role")) for di in (0, 1) for dj in (0, 1)])
+    group = [*keys, *carry, *TILE_COLUMNS]
+
+    def spread(axis: str) -> Column:
+        return F.explode(F.sequence(F.greatest(F.lit(0), tile_of(F.col(axis) - 1, size)), tile_of(F.col(axis), size)))
+
+    given = values.select(*keys, *carry, "i", "j", F.col(value).alias("_value")).withColumn("tile_i", spread("i")).withColumn("tile_j", spread("j"))
+    asked = cells.select(*keys, "i0", "j0").distinct()
+    if carry:
+        # A row a slab: written, so that its true size decides whether it is broadcast.
+        asked = asked.join(summary_table(slabs), list(keys))
+    skeleton = asked.select(
+        *keys,
+        *carry,
+        F.col("i0").alias("i"),
+        F.col("j0").alias("j"),
+        F.lit(None).cast(values.schema[value].dataType).alias("_value"),
+        tile_of(F.col("i0"), size).alias("tile_i"),
+        tile_of(F.col("j0"), size).alias("tile_j"),
+        F.lit(True).alias("_asked"),
     )
+    dealt = given.withColumn("_asked", F.lit(False)).unionByName(skeleton).repartition(*group)
+    placed = dealt.select(*group, "_value", "_asked", F.inline(roles))
+    # A cell takes a place in its own tile alone; what was asked for is a lower left corner.
+    own = (tile_of(F.col("i0"), size) == F.col("tile_i")) & (tile_of(F.col("j0"), size) == F.col("tile_j"))
+    placed = placed.filter(own & (~F.col("_asked") | (F.col("_role") == "v00")))
+    corners = [F.first(F.when((F.col("_role") == c) & ~F.col("_asked"), F.col("_value")), ignorenulls=True).alias(c) for c in CORNERS]
+    quads = placed.groupBy(*group, "i0", "j0").agg(F.bool_or("_asked").alias("_asked"), *corners)
+    return quads.filter("_asked").select(*keys, *carry, "i0", "j0", *CORNERS)
+
+
+def weighted_corners(at_corner: Callable[[str], Column]) -> Column:
+    """Bilinear value from the corners and ``wi, wj``; a corner of weight 0 may be no-data."""
+    wi, wj = F.col("wi"), F.col("wj")
+    out = F.lit(0.0)
+    for corner, weight in zip(CORNERS, ((1 - wi) * (1 - wj), wi * (1 - wj), (1 - wi) * wj, wi * wj)):
+        out = out + F.when(weight != 0, at_corner(corner) * weight).otherwise(F.lit(0.0))
+    return out
 
 
 def bilinear_gather(
@@ -149,25 +196,19 @@ def bilinear_gather(
     carry: Sequence[str] = ("variable", "ts"),
     target: Sequence[str] = ("grid_id", "i", "j"),
     value: str = "value",
+    slabs: DataFrame | None = None,
+    size: int = TILE,
 ) -> DataFrame:
     """Bilinear interpolation of regular source slabs at located nodes.
 
-    ``nodes`` comes from ``locate_nodes``.  A slab is one ``(keys, carry)`` group,
-    bounded by the source grid's horizontal size.  A corner of weight 0 may be no-data.
+    ``nodes`` comes from ``locate_nodes``.  A slab is one ``(keys, carry)`` group of ``slabs``, by default of
+    those that occur in ``values``; every node gets a row in each, NULL where a corner
+    that weighs something is masked or has no row.
     """
-    quads = corner_quads(values.select(*keys, *carry, "i", "j", value), [*keys, *carry], value)
-    quads = quads.withColumnsRenamed({"i": "i0", "j": "j0"})
-    wi, wj = F.col("wi"), F.col("wj")
-    out = F.lit(0.0)
-    for corner, weight in (
-        ("v00", (1 - wi) * (1 - wj)),
-        ("v10", wi * (1 - wj)),
-        ("v01", (1 - wi) * wj),
-        ("v11", wi * wj),
-    ):
-        out = out + F.when(weight != 0, F.col(corner) * weight).otherwise(F.lit(0.0))
+    slabs = source_slabs(values, keys, carry) if slabs is None else slabs
+    quads = corner_quads(values, nodes, slabs, keys, carry, value, size)
     return nodes.join(quads, [*keys, "i0", "j0"]).select(
-        *carry, *[c for c in target if c not in carry], out.alias(value)
+        *carry, *[c for c in target if c not in carry], weighted_corners(F.col).alias(value)
     )
 
 
@@ -207,32 +248,28 @@ def trilinear_gather(
     keys: Sequence[str] = ("dataset",),
     carry: Sequence[str] = ("variable", "ts"),
     target: Sequence[str] = ("grid_id", "i", "j"),
+    slabs: DataFrame | None = None,
+    size: int = TILE,
 ) -> DataFrame:
     """Interpolate packed water columns at located nodes and layers, in one join.
 
-    ``nodes`` comes from ``locate_nodes`` plus the ``layers`` of ``layer_brackets``.
-    Only source-sized rows are shuffled; the target field is produced row by row
+    ``nodes`` comes from ``locate_nodes`` plus the ``layers`` of ``layer_brackets``; ``slabs``
+    as in ``bilinear_gather``.  Columns may end at different levels or be missing: a level
+    that a column lacks is no-data.  Only source-sized rows are shuffled; the target field is produced row by row
     afterwards and is not regrouped.
     """
-    quads = corner_quads(columns.select(*keys, *carry, "i", "j", "levels"), [*keys, *carry], "levels")
-    quads = quads.withColumnsRenamed({"i": "i0", "j": "j0"})
-    rows = nodes.join(quads, [*keys, "i0", "j0"]).select(
-        "*", F.inline("layers")
-    )
-    wi, wj, w = F.col("wi"), F.col("wj"), F.col("w")
-    out = F.lit(0.0)
-    for corner, weight in (
-        ("v00", (1 - wi) * (1 - wj)),
-        ("v10", wi * (1 - wj)),
-        ("v01", (1 - wi) * wj),
-        ("v11", wi * wj),
-    ):
-        low = F.element_at(corner, F.col("lo"))
-        column = F.when(w == 0, low).otherwise((1 - w) * low + w * F.element_at(corner, F.col("hi")))
-        out = out + F.when(weight != 0, column * weight).otherwise(F.lit(0.0))
+    slabs = source_slabs(columns, keys, carry) if slabs is None else slabs
+    quads = corner_quads(columns, nodes, slabs, keys, carry, "levels", size)
+    rows = nodes.join(quads, [*keys, "i0", "j0"]).select("*", F.inline("layers"))
+    w = F.col("w")
+
+    def at_corner(corner: str) -> Column:
+        low, high = F.get(corner, F.col("lo") - 1), F.get(corner, F.col("hi") - 1)
+        return F.when(w == 0, low).when(w == 1, high).otherwise((1 - w) * low + w * high)
+
     extra = [c for c in nodes.columns if c not in (*keys, "i0", "j0", "wi", "wj", "layers")]
     names = list(dict.fromkeys([*carry, *target, *extra, "k", "z_bottom", "z_top"]))
-    return rows.select(*names, out.alias("value"))
+    return rows.select(*names, weighted_corners(at_corner).alias("value"))
 
 
 def nearest_valid_map(valid: DataFrame, keys: Sequence[str] = ("dataset", "lev")) -> DataFrame:

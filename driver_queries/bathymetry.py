@@ -138,6 +138,12 @@ def b3_regrid_bathymetry(spark, sf):
     return _cells(bathy.regrid_bathymetry(fx.bathymetry(spark, sf), d, _target(d), minimum_depth=3.0))
 
 
+def b3_regrid_tiles(spark, sf):
+    """The same over native tiles of 4 cells; most targets have corners in two or four of them."""
+    d = fx.domains(spark, sf)
+    return _cells(bathy.regrid_bathymetry(fx.bathymetry(spark, sf), d, _target(d), minimum_depth=3.0, size=4))
+
+
 def regrid_sql(source, domain, target, name, minimum_depth):
     """Bilinear lookup of four corners, clamped at the outer centres."""
     return f"""{name}_f AS (
@@ -277,6 +283,7 @@ QUERIES = {
     "B1_idw_grid": (b1_idw_grid, B1_SQL),
     "B2_rasterize_land": (b2_rasterize_land, B2_SQL),
     "B3_regrid_bathymetry": (b3_regrid_bathymetry, B3_SQL),
+    "B3_regrid_tiles": (b3_regrid_tiles, B3_SQL),
     "B4_fill_diagonal_pairs": (_query(bathy.fill_diagonal_pairs), _sql(diagonal_sql("bathy"))),
     "B4_fill_both_diagonals": (b4_both, B4_BOTH_SQL),
     "B5_remove_isolated_sea": (_query(bathy.remove_isolated_sea), _sql(isolated_sea_sql("bathy"))),
@@ -285,6 +292,15 @@ QUERIES = {
         _query(bathy.smooth_gaps),
         f"WITH {fx.D_BATHY}, {smooth_sql('bathy')} SELECT grid_id, i, j, round(h, 6) AS h FROM p11",
     ),
+    # The stencils once more over tiles of 8 cells, so that every domain is crossed by tile borders.
+    "B4_diagonal_pairs_tiles": (_query(bathy.fill_diagonal_pairs, size=8), _sql(diagonal_sql("bathy"))),
+    "B5_isolated_sea_tiles": (_query(bathy.remove_isolated_sea, size=8), _sql(isolated_sea_sql("bathy"))),
+    "B6_isolated_land_tiles": (_query(bathy.fill_isolated_land, size=8), _sql(isolated_land_sql("bathy"))),
+    "B7_smooth_gaps_tiles": (
+        _query(bathy.smooth_gaps, size=8),
+        f"WITH {fx.D_BATHY}, {smooth_sql('bathy')} SELECT grid_id, i, j, round(h, 6) AS h FROM p11",
+    ),
+    "B9_shallow_spikes_tiles": (_query(bathy.fill_shallow_spikes, ratio=0.5, size=8), _sql(spikes_sql("bathy", "5e-1"))),
     "B8_connected_basins": (b8_connected_basins, B8_SQL),
     "B8_keep_major_basins": (_query(bathy.keep_major_basins, n=2), B8_KEEP_SQL),
     "B9_fill_shallow_spikes": (_query(bathy.fill_shallow_spikes, ratio=0.5), _sql(spikes_sql("bathy", "5e-1"))),

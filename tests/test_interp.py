@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,54 @@ def test_packed_levels_stand_at_their_numbers(spark):
     values = spark.createDataFrame(rows, "dataset int, variable string, ts int, i int, j int, lev int, value double")
     got = {r.i: r.levels for r in interp.pack_columns(values).collect()}
     assert got == {1: [1.0, None, 3.0], 2: [5.0, None]}
+
+
+def _located(spark, points):
+    rows = [(1, 1, n, 1, i0, j0, wi, wj) for n, (i0, j0, wi, wj) in enumerate(points)]
+    return spark.createDataFrame(rows, "dataset int, grid_id int, i int, j int, i0 int, j0 int, wi double, wj double")
+
+
+@pytest.mark.parametrize("size", [2, 3, 128])
+def test_gather_keeps_every_target_of_a_sparse_source(spark, size):
+    rng = random.Random(size)
+    field = {(t, i, j): float(t * 1000 + i * 10 + j) for t in (1, 2) for i in range(1, 10) for j in range(1, 8) if rng.random() < 0.7}
+    values = spark.createDataFrame([(1, "v", t, i, j, v) for (t, i, j), v in field.items()], "dataset int, variable string, ts int, i int, j int, value double")
+    points = [(i, j, rng.choice([0.0, 0.25, 1.0]), rng.choice([0.0, 0.5, 1.0])) for i in range(1, 9) for j in range(1, 7)]
+    got = interp.bilinear_gather(values, _located(spark, points), size=size).collect()
+    assert len(got) == 2 * len(points)
+    for r in got:
+        i0, j0, wi, wj = points[r.i]
+        corners = [((i0 + a, j0 + b), (wi if a else 1 - wi) * (wj if b else 1 - wj)) for a in (0, 1) for b in (0, 1)]
+        held = [(field.get((r.ts, *at)), w) for at, w in corners if w]
+        expected = None if any(v is None for v, _ in held) else sum(v * w for v, w in held)
+        assert r.value == (None if expected is None else pytest.approx(expected))
+
+
+def test_slabs_without_any_row_are_expected_ones(spark, plane):
+    _, values = plane
+    slabs = spark.createDataFrame([(1, "v", "t"), (1, "v", "later")], "dataset int, variable string, ts string")
+    got = interp.bilinear_gather(values, _located(spark, [(1, 1, 0.0, 0.0)]), slabs=slabs).collect()
+    assert {(r.ts, r.value) for r in got} == {("t", 1.0), ("later", None)}
+    none = interp.bilinear_gather(values.filter("i < 0"), _located(spark, [(1, 1, 0.0, 0.0)]), slabs=slabs)
+    assert [r.value for r in none.collect()] == [None, None]
+
+
+def test_layers_below_a_short_column_are_no_data(spark):
+    rows = [(1, "v", "t", lev, i, j, 10.0 * lev) for lev in (1, 2, 3) for i in (1, 2) for j in (1, 2) if lev < 3 or i == 1]
+    columns = interp.pack_columns(spark.createDataFrame(rows, "dataset int, variable string, ts string, lev int, i int, j int, value double"))
+    layers = [(3, 1, 1, 0.0, -1.0, 0.0), (2, 2, 3, 0.5, -2.0, -1.0), (1, 3, 3, 0.0, -3.0, -2.0)]
+    made = "array<struct<k: int, lo: int, hi: int, w: double, z_bottom: double, z_top: double>>"
+    table = spark.createDataFrame([(1, layers)], f"grid_id int, layers {made}")
+    nodes = _located(spark, [(1, 1, 0.0, 0.5), (1, 1, 0.5, 0.0)]).join(table, "grid_id")
+    got = {(r.i, r.k): r.value for r in interp.trilinear_gather(columns, nodes).collect()}
+    assert got == {(0, 3): 10.0, (0, 2): 25.0, (0, 1): 30.0, (1, 3): 10.0, (1, 2): None, (1, 1): None}
+
+
+def test_gathers_are_dealt_by_tile(spark, plane):
+    """No exchange by slab or domain alone: a wide one would land in one task."""
+    _, values = plane
+    gathered = interp.bilinear_gather(values, _located(spark, [(1, 1, 0.5, 0.5), (3, 2, 0.5, 0.5)]))
+    plan = gathered._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert any("tile_i" in keys and "tile_j" in keys for keys in dealt)
+    assert all("i0" in keys or "tile_i" in keys for keys in dealt), dealt
