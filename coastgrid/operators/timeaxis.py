@@ -6,7 +6,7 @@ Time stamps are TIMESTAMP_NTZ throughout.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -453,7 +453,7 @@ def select_leads(df: DataFrame, first: int = FIRST_LEAD, last: int = LAST_LEAD)
 def deaccumulate(
     df: DataFrame,
     cell: Sequence[str] = ("cell",),
-    accumulated: str = "acc",
+    accumulated: str | Mapping[str, str] = "acc",
     seconds: int = SECONDS_PER_LEAD,
     first: int = FIRST_LEAD,
     last: int = LAST_LEAD,
@@ -462,10 +462,12 @@ def deaccumulate(
     """Mean rate over the hour that ends at each lead, within one run.
 
     The lead before ``first`` serves only as the lower end of the first difference.
-    A run has a handful of leads per cell, so no window group can grow large.
+    A run has a handful of leads per cell, so no window group can grow large.  ``accumulated``
+    is the column whose rate becomes ``out``, or several as ``{out: column}``, in one window.
     """
     run = Window.partitionBy("run_ts", *cell).orderBy("lead_h")
-    previous = F.when(F.lag("lead_h").over(run) == F.col("lead_h") - 1, F.lag(accumulated).over(run))
-    rate = (F.col(accumulated) - previous) / F.lit(float(seconds))
-    leads = df.filter(F.col("lead_h").between(first - 1, last)).withColumn(out, rate)
+    follows = F.lag("lead_h").over(run) == F.col("lead_h") - 1
+    columns = {out: accumulated} if isinstance(accumulated, str) else accumulated
+    rates = {name: (F.col(c) - F.when(follows, F.lag(c).over(run))) / F.lit(float(seconds)) for name, c in columns.items()}
+    leads = df.filter(F.col("lead_h").between(first - 1, last)).withColumns(rates)
     return select_leads(leads, first, last)

@@ -18,6 +18,7 @@ from coastgrid.plans.jobs import (
     add_rivers,
     prepare_bathymetry,
     prepare_month,
+    publish_pending_months,
     regrid_atmosphere,
     regrid_forcing,
 )
@@ -38,6 +39,7 @@ __all__ = [
     "add_rivers",
     "prepare_bathymetry",
     "prepare_month",
+    "publish_pending_months",
     "regrid_atmosphere",
     "regrid_forcing",
 ]

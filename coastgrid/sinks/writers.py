@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import os
 import posixpath
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from coastgrid.errors import ValidationError
-from coastgrid.functions.columns import micros_between
-from coastgrid.operators.checks import require_finite
+from coastgrid.functions.columns import finite, micros_between
 
 COMPRESSION = "zstd"
 MONTH_PARTITIONS = ("variable", "year", "month")
@@ -68,10 +68,53 @@ def write_forcing(df: DataFrame, path: str) -> None:
     _write_months(out, path, ("grid_id", "ts", "k", "j", "i"))
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
+def not_finite(value: str = "value") -> Column:
+    """NULL, NaN and infinite values."""
+    return ~finite(F.col(value))
+
+
+def write_watched(rows: DataFrame, path: str, refuse: Column | None = None) -> int:
+    """Write rows by month to a new folder and count them in the same pass; the number written.
+
+    A single row that ``refuse`` holds for is an error that names up to five of their times, and then
+    the folder is gone again.
+    """
+    watched, spark = Observation(), rows.sparkSession
+    bad = F.count_if(F.lit(False) if refuse is None else F.coalesce(refuse, F.lit(False)))
+    seen = rows.observe(watched, F.count(F.lit(1)).alias("rows"), bad.alias("bad"))
+    seen.write.option("compression", COMPRESSION).partitionBy(*MONTH_PARTITIONS).parquet(path)
+    if watched.get["bad"]:
+        held = spark.read.parquet(path).filter(refuse).select("variable", F.col("ts").cast("string")).distinct().orderBy("variable", "ts").limit(5).collect()
+        remove_folder(spark, path)
+        named = ", ".join("{} at {}".format(*r) for r in held)
+        raise ValidationError(f"{watched.get['bad']} of {watched.get['rows']} rows are refused, so nothing is kept of the write: {named}")
+    return watched.get["rows"]
+
+
 def write_atmosphere(df: DataFrame, path: str) -> None:
-    """Atmosphere fields, refused when any value is not finite."""
-    require_finite(df)
-    _write_months(df.withColumn("value", F.col("value").cast("float")), path, ("grid_id", "ts", "j", "i"))
+    """Atmosphere fields, refused when any value is not finite; replaces what is there.
+
+    The input is computed once: values are counted while they are written beside ``path``, and the
+    folder takes its place only when all are finite.
+    """
+    out = _by_month(df.withColumn("value", F.col("value").cast("float")), ("grid_id", "ts", "j", "i"))
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    write_watched(out, staged, not_finite())
+    spark = df.sparkSession
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+    if not files.rename(_folder(spark, staged)[1], place):
+        raise ValidationError(f"{staged} holds the fields, but could not be moved to {path}")
 
 
 def _place(path: str) -> str:

@@ -331,7 +331,7 @@ spine AS (
          west + (i - 5e-1) * ((east - west) / nx) AS lon, south + (j - 5e-1) * ((north - south) / ny) AS lat
   FROM domain, LATERAL (SELECT unnest(generate_series(1, nx)) AS i), LATERAL (SELECT unnest(generate_series(1, ny)) AS j))"""
 D_BATHY = f"""{D_SPINE},
-bathy AS (
+bathy AS MATERIALIZED (
   SELECT s.grid_id, s.nx, s.ny, s.i, s.j, s.lon, s.lat, coalesce(c.h, 0e0) AS h
   FROM spine s LEFT JOIN ({duck(CELL_SQL)}) c ON s.grid_id = c.grid_id AND s.i = c.i AND s.j = c.j)"""
 D_LEVELS = "levels(k, zb, zt) AS (VALUES " + ", ".join(
@@ -356,14 +356,16 @@ D_SOURCE_GRID = """srcgrid AS (
   FROM domain GROUP BY 1)"""
 D_RECORDS = f"rec AS ({duck(RECORD_SQL)})"
 D_DAILY = f"daily AS ({duck(DAILY_SQL)})"
-D_RUNS = f"""hourly AS ({duck(HOURLY_SQL)}),
-runs AS (
+# An event counts for the run of its six hours and for the one before, which reaches nine hours.
+D_RUNS = f"""hourly AS MATERIALIZED ({duck(HOURLY_SQL)}),
+reach AS MATERIALIZED (SELECT cell, h, cents, CAST(floor(h / 6e0) * 6 AS INT) - back AS run_h FROM hourly, (VALUES (0), (6)) AS o(back)),
+runs AS MATERIALIZED (
   SELECT c.cell, TIMESTAMP '2024-01-01 00:00:00' + c.run_h * INTERVAL 1 HOUR AS run_ts, CAST(l.lead_h AS INT) AS lead_h,
          CAST(coalesce(sum(e.cents), 0) AS BIGINT) AS acc
   FROM (SELECT cell, unnest(generate_series(min(CAST(floor(h / 6e0) * 6 AS INT)), max(CAST(floor(h / 6e0) * 6 AS INT)), 6)) AS run_h
         FROM hourly GROUP BY cell) c
   CROSS JOIN generate_series(3, 9) AS l(lead_h)
-  LEFT JOIN hourly e ON e.cell = c.cell AND e.h >= c.run_h AND e.h < c.run_h + l.lead_h
+  LEFT JOIN reach e ON e.cell = c.cell AND e.run_h = c.run_h AND e.h < c.run_h + l.lead_h
   GROUP BY c.cell, c.run_h, l.lead_h)"""
 D_POINTS = f"pts AS ({duck(POINT_SQL)})"
 D_LINES = f"lines AS ({duck(LINE_SQL)})"

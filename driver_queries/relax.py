@@ -45,11 +45,11 @@ nodei AS (SELECT grid_id, river_id, arg_min(m, abs(west + (m - 5e-1) * dx - lon)
           FROM loc, LATERAL (SELECT unnest(generate_series(1, nx)) AS m) WHERE inside GROUP BY 1, 2),
 nodej AS (SELECT grid_id, river_id, arg_min(m, abs(south + (m - 5e-1) * dy - lat)) AS nj
           FROM loc, LATERAL (SELECT unnest(generate_series(1, ny)) AS m) WHERE inside GROUP BY 1, 2),
-cand AS (SELECT a.grid_id, a.river_id, c.i, c.j, (c.i - ni) * (c.i - ni) + (c.j - nj) * (c.j - nj) AS d2,
+cand AS MATERIALIZED (SELECT a.grid_id, a.river_id, c.i, c.j, (c.i - ni) * (c.i - ni) + (c.j - nj) * (c.j - nj) AS d2,
                 row_number() OVER (PARTITION BY a.grid_id, a.river_id ORDER BY (c.i - ni) * (c.i - ni) + (c.j - nj) * (c.j - nj), c.j - nj, c.i - ni) AS rn
          FROM nodei a JOIN nodej b USING (grid_id, river_id) JOIN coast c ON c.grid_id = a.grid_id
          WHERE (c.i - ni) * (c.i - ni) + (c.j - nj) * (c.j - nj) <= 1225e-2),
-snap AS (SELECT l.grid_id, l.river_id, l.position, c.i, c.j, sqrt(CAST(c.d2 AS DOUBLE)) AS distance,
+snap AS MATERIALIZED (SELECT l.grid_id, l.river_id, l.position, c.i, c.j, sqrt(CAST(c.d2 AS DOUBLE)) AS distance,
                 CASE WHEN NOT inside THEN 'outside' WHEN c.i IS NULL THEN 'no coast' END AS reason
          FROM loc l LEFT JOIN cand c ON c.grid_id = l.grid_id AND c.river_id = l.river_id AND c.rn = 1)"""
 R2_SQL = f"WITH {D_SNAP} SELECT grid_id, river_id, i, j, round(distance, 6) AS distance, reason FROM snap"
@@ -69,7 +69,7 @@ def r3_match_series_by_date(spark, sf):
 
 
 D_SERIES = f"""{fx.D_RIVER},
-series AS (SELECT CAST(river - 4 AS INT) AS river_id, ts, 'T' AS variable, CAST(temp AS DOUBLE) AS value FROM river WHERE level = 2
+series AS MATERIALIZED (SELECT CAST(river - 4 AS INT) AS river_id, ts, 'T' AS variable, CAST(temp AS DOUBLE) AS value FROM river WHERE level = 2
            UNION ALL SELECT CAST(river - 4 AS INT), ts, 'S', 0e0 FROM river WHERE level = 2)"""
 R3_SQL = f"""WITH {D_SERIES}
 SELECT date_trunc('day', ts)::TIMESTAMP AS ts, river_id, variable, value FROM series WHERE ts < TIMESTAMP '1995-01-03 00:00:00'"""
@@ -94,12 +94,13 @@ def r5_upsert_rivers(spark, sf):
 
 
 D_UPSERT = f"""{D_SNAP}, {fx.D_FORCING.replace(fx.D_FACES + ',', '')}, {D_SERIES},
-own AS (SELECT grid_id, i, j, arg_max(river_id, position) AS river_id FROM snap WHERE reason IS NULL GROUP BY 1, 2, 3)"""
-R5_SQL = f"""WITH {D_UPSERT}
-SELECT f.grid_id, f.variable, f.ts, f.k, f.j, f.i, CASE WHEN s.river_id IS NOT NULL THEN s.value ELSE f.value END AS value,
-       round(CASE WHEN s.river_id IS NOT NULL THEN 1 / 36e2 ELSE f."lambda" END, 10) AS "lambda"
-FROM forcing f LEFT JOIN own o ON o.grid_id = f.grid_id AND o.i = f.i AND o.j = f.j AND f.k = 6
-LEFT JOIN series s ON s.river_id = o.river_id AND s.variable = f.variable AND s.ts = f.ts"""
+own AS MATERIALIZED (SELECT grid_id, i, j, arg_max(river_id, position) AS river_id FROM snap WHERE reason IS NULL GROUP BY 1, 2, 3)"""
+# Rivers touch few cells: those are joined, all others pass by.
+R5_SQL = f"""WITH {D_UPSERT},
+flow AS MATERIALIZED (SELECT o.grid_id, o.i, o.j, s.variable, s.ts, s.value FROM own o JOIN series s USING (river_id))
+SELECT f.grid_id, f.variable, f.ts, f.k, f.j, f.i, CASE WHEN s.grid_id IS NOT NULL THEN s.value ELSE f.value END AS value,
+       round(CASE WHEN s.grid_id IS NOT NULL THEN 1 / 36e2 ELSE f."lambda" END, 10) AS "lambda"
+FROM forcing f LEFT JOIN flow s ON s.grid_id = f.grid_id AND s.i = f.i AND s.j = f.j AND f.k = 6 AND s.variable = f.variable AND s.ts = f.ts"""
 
 
 def add_rivers_job(spark, sf):

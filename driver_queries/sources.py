@@ -14,12 +14,12 @@ from coastgrid.operators import rivers, soundings
 from driver_queries import fixtures as fx
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/coastgrid/{name}-{uuid.uuid4().hex}"
 
 
 def s1_read_records(spark, sf):
-    path = _new_path(spark, "records")
+    path = new_path(spark, "records")
     orders = fx.run(spark, sf, "SELECT o_orderkey, o_custkey, o_orderdate AS ts FROM {orders}")
     months = fx.ntz(orders, "ts").withColumns({"year": F.year("ts"), "month": F.month("ts")})
     months.repartition("year", "month").write.partitionBy("year", "month").parquet(path)
@@ -42,7 +42,7 @@ SELECT series, ts, file, idx, value FROM (
 
 
 def s3_read_outlets(spark, sf):
-    path = _new_path(spark, "outlets")
+    path = new_path(spark, "outlets")
     fx.outlets(spark, sf).select(
         F.col("river_id").alias("River number"),
         F.concat(F.lit("  "), "name").alias("Name"),
@@ -139,7 +139,7 @@ S9_SQL = f"WITH {fx.D_FORCING} SELECT grid_id, variable, ts, k, j, i, value FROM
 
 
 def k1_write_bathymetry(spark, sf):
-    path = _new_path(spark, "bathymetry")
+    path = new_path(spark, "bathymetry")
     sinks.write_bathymetry(fx.bathymetry(spark, sf), path, fx.domains(spark, sf))
     return spark.read.parquet(path).select("grid_id", "i", "j", F.col("h").cast("double").alias("h"))
 
@@ -148,7 +148,7 @@ K1_SQL = f"WITH {fx.D_BATHY} SELECT grid_id, i, j, CAST(CAST(h AS FLOAT) AS DOUB
 
 
 def k2_write_forcing(spark, sf):
-    path = _new_path(spark, "forcing")
+    path = new_path(spark, "forcing")
     sinks.write_forcing(fx.forcing(spark, sf), path)
     return spark.read.parquet(path).select(
         "grid_id", "variable", "year", "month", "ts", "k", "j", "i",
@@ -174,7 +174,7 @@ FROM {events} GROUP BY 1, 2, 3"""
 
 
 def k3_write_atmosphere(spark, sf):
-    path = _new_path(spark, "atmosphere")
+    path = new_path(spark, "atmosphere")
     sinks.write_atmosphere(event_field(spark, sf), path)
     return spark.read.parquet(path).select(
         "variable", "year", "month", "ts", "i", "j", F.col("value").cast("double").alias("value")
@@ -186,7 +186,7 @@ K3_SQL = f"""SELECT variable, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS I
 
 
 def k4_write_river_copy(spark, sf):
-    source, target = _new_path(spark, "forcing"), _new_path(spark, "rivers")
+    source, target = new_path(spark, "forcing"), new_path(spark, "rivers")
     sinks.write_forcing(fx.forcing(spark, sf), source)
     sinks.write_river_copy(spark.read.parquet(source), source, target)
     return spark.read.parquet(target).groupBy("grid_id", "variable").agg(
@@ -200,7 +200,7 @@ SELECT grid_id, variable, count(*) AS cells, count(value) AS wet_cells FROM forc
 
 def k5_write_month_staged(spark, sf):
     """All months are written, then 1996 is replaced; every other month must survive."""
-    path = _new_path(spark, "staged")
+    path = new_path(spark, "staged")
     orders = fx.ntz(fx.run(spark, sf, ORDER_FIELD_SQL), "ts")
     sinks.write_month_staged(orders, path, ("ts", "i"))
     again = orders.filter(F.year("ts") == 1996).withColumn("value", -F.col("value"))
@@ -214,6 +214,36 @@ K5_SQL = f"""SELECT variable, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS I
        CASE WHEN year(ts) = 1996 THEN -value ELSE value END AS value FROM ({fx.duck(ORDER_FIELD_SQL)})"""
 
 
+def _half_published(spark, sf, name):
+    """Orders until 1994 are published; a writer of 1995 was lost before its marker."""
+    path = new_path(spark, name)
+    orders = fx.ntz(fx.run(spark, sf, ORDER_FIELD_SQL), "ts")
+    sinks.publish_months(orders.filter(F.year("ts") <= 1994), path, ("ts", "i"))
+    lost = orders.filter(F.year("ts") == 1995).withColumns({"value": -F.col("value"), "year": F.year("ts"), "month": F.month("ts")})
+    lost.write.partitionBy("variable", "year", "month").parquet(f"{path}/data/version=vlost")
+    return orders, path
+
+
+def k5_publish_months(spark, sf):
+    """From a half-done table the later years are published, then 1996 is replaced; readers go by the ledger."""
+    orders, path = _half_published(spark, sf, "published")
+    sinks.publish_months(orders.filter(F.year("ts") >= 1995), path, ("ts", "i"), replace=False)
+    sinks.publish_months(orders.filter(F.year("ts") == 1996).withColumn("value", -F.col("value")), path, ("ts", "i"))
+    return sinks.read_published(spark, path).select("variable", "year", "month", "ts", "i", "value")
+
+
+def k6_pending_published(spark, sf):
+    """What the half-done table still lacks of finished orders: its lost year and all later ones."""
+    orders, path = _half_published(spark, sf, "pending")
+    years = orders.select(F.year("ts").alias("year")).distinct()
+    return sinks.pending_published(spark, path, years, ["F"])
+
+
+K6_PUBLISHED_SQL = f"""WITH o AS (SELECT DISTINCT variable, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month FROM ({fx.duck(ORDER_FIELD_SQL)}))
+SELECT year, CAST(m AS INT) AS month FROM (SELECT DISTINCT year FROM o), generate_series(1, 12) AS s(m)
+EXCEPT SELECT year, month FROM o WHERE year <= 1994 AND variable = 'F'"""
+
+
 def k6_pending_months(spark, sf):
     """Months without any order, per group of customers."""
     daily = fx.daily(spark, sf).select("series", F.year("ts").alias("year"), F.month("ts").alias("month"))
@@ -267,6 +297,8 @@ QUERIES = {
     "K3_write_atmosphere": (k3_write_atmosphere, K3_SQL),
     "K4_write_river_copy": (k4_write_river_copy, K4_SQL),
     "K5_write_month_staged": (k5_write_month_staged, K5_SQL),
+    "K5_publish_months": (k5_publish_months, K5_SQL),
+    "K6_pending_published": (k6_pending_published, K6_PUBLISHED_SQL),
     "K6_pending_months": (k6_pending_months, K6_SQL),
     "K7_pack_slabs": (k7_pack_slabs, K7_SQL),
     "K7_unpack_slabs": (k7_unpack_slabs, S9_SQL),

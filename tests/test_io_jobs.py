@@ -192,3 +192,93 @@ def test_a_day_of_many_domains_is_several_tasks(spark):
     spread = writers._by_month(rows, ("grid_id",)).select(F.spark_partition_id().alias("p"))
     plan = spread._jdf.queryExecution().optimizedPlan().toString()
     assert "grid_id" in plan and "RepartitionByExpression" in plan
+
+
+def _months(path, spark):
+    return {(r.year, r.month): r.n for r in sinks.read_published(spark, path).groupBy("year", "month").agg(F.count("*").alias("n")).collect()}
+
+
+@pytest.fixture
+def two_months(spark):
+    rows = [("a", f"2020-{m:02}-{d:02} 12:00:00", 1, 1, i, float(m * 100 + i)) for m in (1, 2) for d in (1, 2) for i in (1, 2, 3)]
+    frame = spark.createDataFrame(rows, "variable string, ts string, k int, j int, i int, value double")
+    return frame.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def test_readers_see_named_versions_only(spark, two_months, tmp_path):
+    path = str(tmp_path / "table")
+    assert sinks.unnamed_versions(spark, path) == []
+    with pytest.raises(MissingRecordError):
+        sinks.read_published(spark, path)
+    lines = sinks.publish_months(two_months.filter(F.month("ts") == 1), path).collect()
+    assert [(r.variable, r.year, r.month, r.row_count, r.seq) for r in lines] == [("a", 2020, 1, 6, 1)]
+    # A writer that was lost before its marker, and one that replaces a month.
+    half = two_months.withColumns({"year": F.year("ts"), "month": F.month("ts")}).filter("i < 3")
+    half.write.partitionBy("variable", "year", "month").parquet(f"{path}/data/version=vhalf")
+    assert _months(path, spark) == {(2020, 1): 6}
+    pending = sinks.pending_published(spark, path, spark.createDataFrame([(2020,)], "year int"), ["a"])
+    assert {r.month for r in pending.collect()} == set(range(2, 13))
+    sinks.publish_months(two_months.withColumn("value", F.lit(-1.0)), path)
+    assert sinks.read_published(spark, path).agg(F.max("value")).first()[0] == -1.0
+    assert sinks.check_published(spark, path).collect() == []
+    gone = sinks.drop_unnamed(spark, path)
+    assert "vhalf" in gone and len(gone) == 2 and _months(path, spark) == {(2020, 1): 6, (2020, 2): 6}
+    with pytest.raises(ValidationError, match="already published: a 2020-01"):
+        sinks.publish_months(two_months, path, replace=False)
+    assert sinks.unnamed_versions(spark, path) == []
+    assert sinks.publish_months(two_months.filter("i > 9"), path).collect() == [] and sinks.unnamed_versions(spark, path) == []
+
+
+def test_lost_files_are_found(spark, two_months, tmp_path):
+    path = str(tmp_path / "table")
+    version = sinks.publish_months(two_months, path).first()["version"]
+    writers.remove_folder(spark, f"{path}/data/version={version}/variable=a/year=2020/month=2")
+    assert [(r.month, r.row_count, r.found) for r in sinks.check_published(spark, path).collect()] == [(2, 6, 0)]
+
+
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf")])
+def test_refused_rows_leave_nothing_behind(spark, two_months, tmp_path, odd):
+    path, seen = str(tmp_path / "table"), spark.sparkContext.accumulator(0)
+    bad = two_months.withColumn("value", F.when((F.col("i") == 2) & (F.month("ts") == 2), F.lit(odd)).otherwise(F.col("value")))
+    with pytest.raises(ValidationError, match="2 of 12 rows are refused"):
+        sinks.publish_months(bad, path, refuse=sinks.not_finite())
+    assert sinks.unnamed_versions(spark, path) == []
+    plain = str(tmp_path / "plain")
+    sinks.write_atmosphere(two_months, plain)
+    with pytest.raises(ValidationError):
+        sinks.write_atmosphere(bad, plain)
+    assert spark.read.parquet(plain).count() == 12 and [p.name for p in tmp_path.iterdir() if "staged" in p.name] == []
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    sinks.write_atmosphere(two_months.mapInArrow(count, two_months.schema), plain)
+    assert seen.value == 12  # the input is computed once
+
+
+def test_a_month_job_goes_on_where_it_was_lost(spark, tmp_path, monkeypatch):
+    rows = [(1, f"2020-0{m}-02 00:00:00", lead, i, 1, float(lead * i), 1.0, 0.0) for m in (1, 2, 3) for lead in range(3, 10) for i in (1, 2)]
+    runs = spark.createDataFrame(rows, "dataset int, run_ts string, lead_h int, i int, j int, acc double, ux double, vy double")
+    runs = runs.withColumn("run_ts", F.col("run_ts").cast("timestamp_ntz"))
+    angles = spark.createDataFrame([(1, 1, 1, 0.0), (1, 2, 1, 0.0)], "dataset int, i int, j int, angle double")
+    path, years = str(tmp_path / "table"), spark.createDataFrame([(2020,)], "year int")
+    options = ({"rain": "acc"}, {}, ("ux", "vy"), path, years)
+    publish, calls = plans.jobs.sinks.publish_months, []
+
+    def lost(*args, **more):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("driver lost")
+        return publish(*args, **more)
+
+    monkeypatch.setattr(plans.jobs.sinks, "publish_months", lost)
+    with pytest.raises(RuntimeError):
+        plans.publish_pending_months(runs, angles, *options)
+    assert _months(path, spark) == {(2020, 1): 36}
+    monkeypatch.setattr(plans.jobs.sinks, "publish_months", publish)
+    assert plans.publish_pending_months(runs, angles, *options, months_at_once=12) == [(2020, 2), (2020, 3)]
+    assert _months(path, spark) == {(2020, m): 36 for m in (1, 2, 3)}
+    rain = sinks.read_published(spark, path).filter("variable = 'rain' AND i = 2").select("value").distinct().collect()
+    assert [r.value for r in rain] == [2 / 3600]
