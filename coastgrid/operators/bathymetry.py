@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from coastgrid.errors import ValidationError, require
 from coastgrid.functions.session import materialise, summary_table
-from coastgrid.functions.tiles import TILE, TILE_COLUMNS, spread_to_tiles, with_neighbours
+from coastgrid.functions.tiles import TILE, TILE_COLUMNS, spread_to_tiles, tile_of, with_neighbours
 from coastgrid.operators.grid import grid_spine
 from coastgrid.operators.interp import corner_quads, fractional_index, weighted_corners
 
@@ -28,6 +28,8 @@ ISOLATED_SEA_SIDES = 3
 SPIKE_MIN_NEIGHBOURS = 2
 SLOPE_MAX_PASSES = 400
 SLOPE_TOLERANCE = 1e-9
+#: Rounds of the slope limiter after which carried cells are written again, to keep the plan short.
+ROUNDS_CARRIED = 8
 
 CELL = ("grid_id", "nx", "ny", "i", "j", "h")
 CELL_SCHEMA = "grid_id int, nx int, ny int, i int, j int, h double"
@@ -163,14 +165,19 @@ def fill_gaps(df: DataFrame, passes: int = GAP_FILL_PASSES, sides: int = ISOLATE
 
 
 def smooth_gaps(
-    df: DataFrame, spike_ratio: float = 0.0, max_slope_factor: float = 0.0, minimum_depth: float = 0.0, size: int = TILE
+    df: DataFrame,
+    spike_ratio: float = 0.0,
+    max_slope_factor: float = 0.0,
+    minimum_depth: float = 0.0,
+    size: int = TILE,
+    strict: bool = False,
 ) -> DataFrame:
-    """Gap filling, then despiking and slope limiting when their parameter is positive."""
+    """Gap filling, then despiking and slope limiting when their parameter is positive; ``strict`` is the limiter's."""
     out = fill_gaps(df, size=size)
     if spike_ratio > 0:
         out = fill_shallow_spikes(out, spike_ratio, size=size)
     if max_slope_factor > 0:
-        out = limit_bottom_slope(out, max_slope_factor, minimum_depth, size=size)
+        out = limit_bottom_slope(out, max_slope_factor, minimum_depth, size=size, strict=strict)
     return out
 
 
@@ -221,8 +228,9 @@ def _limit_tile(
     steepest = np.zeros(h.shape)
     for axis in (0, 1):
         r = np.nan_to_num(_steepest(depth, axis)[0])
-        part = steepest[:-1, :] if axis == 0 else steepest[:, :-1]
-        np.maximum(part, r, out=part)
+        # Both ends know of their pair, so a tile sees one that reaches over its border.
+        for part in (steepest[:-1, :], steepest[1:, :]) if axis == 0 else (steepest[:, :-1], steepest[:, 1:]):
+            np.maximum(part, r, out=part)
     out = np.where(np.isnan(depth), h, -depth)
     core = rows["core"].to_numpy()
     return rows.assign(h=out[a, b], steepest=steepest[a, b]).loc[core, [*CELL, "steepest"]]
@@ -244,42 +252,49 @@ def limit_bottom_slope(
     is kept; neither gets shallower than ``minimum_depth``.  A pass sweeps the pairs
     in four turns (axis x parity) whose pairs share no cell.  Information travels at
     most two cells per axis and pass, so ``passes_per_round`` passes are exact within
-    one halo tile, for one shuffle; domains that are settled leave the loop.  With ``strict``,
-    a pair still steeper after ``max_passes`` is an error; without, the result is as far as they got.
+    one halo tile, for one shuffle.  Only tiles with a steep pair in reach of their halo take part in the
+    next round: nothing moves in the others, whose cells are carried on without being
+    shuffled or written again.  With ``strict``, a pair still steeper after ``max_passes`` is an
+    error; without, the result is as far as they got.
     """
     require(0 < max_slope_factor, "max_slope_factor must be positive")
     halo = 2 * passes_per_round + 2
     schema = CELL_SCHEMA + ", steepest double"
-    settled: list[DataFrame] = []
-    active, done = df.select(*CELL), 0
+    tile = ["grid_id", *TILE_COLUMNS]
+    current, active, done, rounds = df.select(*CELL), None, 0, 0
     while True:
+        tiled = spread_to_tiles(current, ["grid_id"], size, halo)
+        if active is not None:
+            tiled = tiled.join(active, tile, "left_semi")
+        passes = min(passes_per_round, max_passes - done)
         swept = materialise(
-            _per_tile(
-                spread_to_tiles(active, ["grid_id"], size, halo),
-                _limit_tile,
-                schema,
-                limit=max_slope_factor,
-                minimum_depth=minimum_depth,
-                passes=min(passes_per_round, max_passes - done),
-                tolerance=tolerance,
-            )
-        )
-        done += passes_per_round
-        steep = (
-            swept.groupBy("grid_id")
-            .agg(F.max("steepest").alias("worst"))
-            .filter(F.col("worst") > max_slope_factor + tolerance)
-            .select("grid_id")
+            _per_tile(tiled, _limit_tile, schema, limit=max_slope_factor, minimum_depth=minimum_depth, passes=passes, tolerance=tolerance)
         )
-        settled_all = steep.isEmpty()
-        if strict and done >= max_passes and not settled_all:
+        done, rounds = done + passes, rounds + 1
+        if active is None:
+            current = swept.select(*CELL)
+        else:
+            own = current.withColumns({"tile_i": tile_of(F.col("i"), size), "tile_j": tile_of(F.col("j"), size)})
+            current = own.join(active, tile, "left_anti").select(*CELL).unionByName(swept.select(*CELL))
+            if rounds % ROUNDS_CARRIED == 0:
+                current = materialise(current)
+        # All steep pairs have an end that was swept: the others were not steep, and did not move.
+        active = materialise(_tiles_in_reach(swept.filter(F.col("steepest") > max_slope_factor + tolerance), size, halo))
+        settled = active.isEmpty()
+        if strict and done >= max_passes and not settled:
             raise ValidationError(f"bottom slopes are still above {max_slope_factor} after {max_passes} passes")
-        if done >= max_passes or settled_all:
-            settled.append(swept.select(*CELL))
-            break
-        settled.append(swept.join(steep, "grid_id", "left_anti").select(*CELL))
-        active = swept.join(steep, "grid_id", "left_semi").select(*CELL)
-    return reduce(DataFrame.unionByName, settled)
+        if done >= max_passes or settled:
+            return current
+
+
+def _tiles_in_reach(cells: DataFrame, size: int, halo: int) -> DataFrame:
+    """The tiles whose halo holds one of ``cells``; one row a tile."""
+
+    def tiles(axis: str, n: str) -> Column:
+        low = F.greatest(F.lit(0), tile_of(F.col(axis) - halo, size))
+        return F.explode(F.sequence(low, F.least(tile_of(F.col(n), size), tile_of(F.col(axis) + halo, size))))
+
+    return cells.withColumn("tile_i", tiles("i", "nx")).withColumn("tile_j", tiles("j", "ny")).select("grid_id", *TILE_COLUMNS).distinct()
 
 
 # --- connected basins --------------------------------------------------------

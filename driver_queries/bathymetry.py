@@ -195,8 +195,38 @@ B8_KEEP_SQL = f"WITH RECURSIVE {fx.D_BATHY}, {BASINS.format(source='bathy')} {KE
 SLOPE_LIMIT = 0.3
 
 
+# Limited heights have few decimals; a shift keeps them off rounding boundaries, where engines differ.
+OFF_HALVES = 1.23456789e-7
+
+
+def _off_halves(df):
+    return df.select("grid_id", "i", "j", F.round(F.col("h") + OFF_HALVES, 6).alias("h"))
+
+
 def b10_limit_bottom_slope(spark, sf):
-    return _cells(bathy.limit_bottom_slope(fx.bathymetry(spark, sf), SLOPE_LIMIT))
+    return _off_halves(bathy.limit_bottom_slope(fx.bathymetry(spark, sf), SLOPE_LIMIT))
+
+
+def b10_limit_slope_tiles(spark, sf):
+    """Over tiles of 5 cells, one pass a round: tiles settle at different times and are woken by their neighbours."""
+    return _off_halves(bathy.limit_bottom_slope(fx.bathymetry(spark, sf), SLOPE_LIMIT, passes_per_round=1, max_passes=6, size=5))
+
+
+def slope_sql(passes):
+    """All sweeps one after the other: each turn pairs a cell with one neighbour, by axis and parity of its index."""
+    step = lambda n, axis: f"CASE WHEN (turn // 2) % 2 = {axis} THEN CASE WHEN {n} % 2 = turn % 2 THEN 1 ELSE -1 END ELSE 0 END"
+    deep, other = "(-s.h)", "(-p.h)"
+    shift = f"(abs({deep} - {other}) - {SLOPE_LIMIT} * ({deep} + {other})) / 2"
+    return f"""WITH RECURSIVE {fx.D_BATHY},
+sweep AS (
+  SELECT 0 AS turn, grid_id, i, j, h FROM bathy
+  UNION ALL
+  SELECT s.turn + 1, s.grid_id, s.i, s.j,
+         CASE WHEN s.h < 0 AND p.h < 0 AND abs({deep} - {other}) / ({deep} + {other}) > {SLOPE_LIMIT} + 1e-9
+              THEN -greatest(CASE WHEN {deep} > {other} THEN {deep} - {shift} ELSE {deep} + {shift} END, 0e0) ELSE s.h END
+  FROM (SELECT *, i + {step('i', 0)} AS pi, j + {step('j', 1)} AS pj FROM sweep WHERE turn < {4 * passes}) s
+  LEFT JOIN sweep p ON p.grid_id = s.grid_id AND p.i = s.pi AND p.j = s.pj)
+SELECT grid_id, i, j, round(h + {OFF_HALVES!r}, 6) AS h FROM sweep WHERE turn = {4 * passes}"""
 
 
 def b10_slope_invariants(spark, sf):
@@ -304,7 +334,9 @@ QUERIES = {
     "B8_connected_basins": (b8_connected_basins, B8_SQL),
     "B8_keep_major_basins": (_query(bathy.keep_major_basins, n=2), B8_KEEP_SQL),
     "B9_fill_shallow_spikes": (_query(bathy.fill_shallow_spikes, ratio=0.5), _sql(spikes_sql("bathy", "5e-1"))),
-    "B10_limit_bottom_slope": (b10_limit_bottom_slope, None),
+    # A domain of the driver's tables is settled well before the last of these passes, which then change nothing.
+    "B10_limit_bottom_slope": (b10_limit_bottom_slope, slope_sql(100)),
+    "B10_limit_slope_tiles": (b10_limit_slope_tiles, slope_sql(6)),
     "B10_slope_invariants": (b10_slope_invariants, B10_SQL),
     "B11_prepare_bathymetry": (b11_prepare_bathymetry, B11_SQL),
     "wet_volume_by_layer": (flagship, FLAGSHIP_SQL),

@@ -215,11 +215,11 @@ K5_SQL = f"""SELECT variable, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS I
 
 
 def _half_published(spark, sf, name):
-    """Orders until 1994 are published; a writer of 1995 was lost before its marker."""
+    """Orders until 1997 are published; a writer of 1998 was lost before its marker."""
     path = new_path(spark, name)
     orders = fx.ntz(fx.run(spark, sf, ORDER_FIELD_SQL), "ts")
-    sinks.publish_months(orders.filter(F.year("ts") <= 1994), path, ("ts", "i"))
-    lost = orders.filter(F.year("ts") == 1995).withColumns({"value": -F.col("value"), "year": F.year("ts"), "month": F.month("ts")})
+    sinks.publish_months(orders.filter(F.year("ts") <= 1997), path, ("ts", "i"))
+    lost = orders.filter(F.year("ts") == 1998).withColumns({"value": -F.col("value"), "year": F.year("ts"), "month": F.month("ts")})
     lost.write.partitionBy("variable", "year", "month").parquet(f"{path}/data/version=vlost")
     return orders, path
 
@@ -227,21 +227,21 @@ def _half_published(spark, sf, name):
 def k5_publish_months(spark, sf):
     """From a half-done table the later years are published, then 1996 is replaced; readers go by the ledger."""
     orders, path = _half_published(spark, sf, "published")
-    sinks.publish_months(orders.filter(F.year("ts") >= 1995), path, ("ts", "i"), replace=False)
+    sinks.publish_months(orders.filter(F.year("ts") >= 1998), path, ("ts", "i"), replace=False)
     sinks.publish_months(orders.filter(F.year("ts") == 1996).withColumn("value", -F.col("value")), path, ("ts", "i"))
     return sinks.read_published(spark, path).select("variable", "year", "month", "ts", "i", "value")
 
 
 def k6_pending_published(spark, sf):
-    """What the half-done table still lacks of finished orders: its lost year and all later ones."""
+    """What the half-done table still lacks; a month counts when every status has it."""
     orders, path = _half_published(spark, sf, "pending")
     years = orders.select(F.year("ts").alias("year")).distinct()
-    return sinks.pending_published(spark, path, years, ["F"])
+    return sinks.pending_published(spark, path, years, ["F", "O", "P"])
 
 
 K6_PUBLISHED_SQL = f"""WITH o AS (SELECT DISTINCT variable, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month FROM ({fx.duck(ORDER_FIELD_SQL)}))
 SELECT year, CAST(m AS INT) AS month FROM (SELECT DISTINCT year FROM o), generate_series(1, 12) AS s(m)
-EXCEPT SELECT year, month FROM o WHERE year <= 1994 AND variable = 'F'"""
+EXCEPT SELECT year, month FROM o WHERE year <= 1997 GROUP BY 1, 2 HAVING count(*) = 3"""
 
 
 def k6_pending_months(spark, sf):
