@@ -293,3 +293,13 @@ def test_site_quality_shrinks_sparse_sites(spark, odd, documents):
     got = site_quality.site_quality(few, sites.limit(0), labels.limit(0)).collect()
     assert len(got) == len(ODD) + 1 and {r["site"] for r in got} == {got[0]["site"]}
     assert site_quality.site_quality(odd([]), sites.limit(0), labels.limit(0)).count() == 0
+
+
+def test_parts_of_an_address_may_have_any_number_of_zeros(odd):
+    long = "0" * 5000
+    texts = [f"see {long}.1.2.3 now", f"see 1.{long}7.2.3 now", f"see 1.2.3.{'9' * 5000} now", f"{long}256.1.1.1", "00.0.0.000"]
+    assert [personal_data.base_spans(t) for t in texts] == [[(1, 4, 5010)], [(1, 4, 5011)], [], [], [(1, 0, 10)]]
+    docs = odd(texts)
+    found = personal_data.find_personal_data(docs, personal_data.fit_from_sample(docs)).orderBy("doc_id").collect()
+    assert [r["n_ip"] for r in found] == [1, 1, 0, 0, 1]
+    assert [r["text"] for r in personal_data.redact_documents(docs, personal_data.fit_from_sample(docs)).orderBy("doc_id").collect()][0] == "see <ip> now"
