@@ -250,3 +250,11 @@ def test_lines_within_some_edits_equal_brute_force(table, edits):
     }
     got = line_dedup.drop_repeated_lines(table(lines), edits=edits).collect()
     assert {r["doc_id"] for r in got if r["near_lines"]} == want and sum(r["equal_lines"] for r in got) == 0
+
+
+def test_shortest_lines_may_be_compared_too(table):
+    rng = random.Random(8)
+    lines = list(dict.fromkeys("".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))) for _ in range(60)))
+    want = {n for n, a in enumerate(lines) if any(edit_distance(a, b) <= 1 for b in lines[:n])}
+    got = line_dedup.drop_repeated_lines(table(lines), min_chars=1, near_chars=1, edits=1).collect()
+    assert {r["doc_id"] for r in got if r["near_lines"]} == want
