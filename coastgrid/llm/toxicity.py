@@ -18,6 +18,10 @@ from coastgrid.llm.common import narrow
 #: match is the same on either side.
 MARK = bytes(range(1, 9)) * 2
 GAIN_STEPS = 8
+#: Savings above this are not told apart.
+MOST_GAIN = 64
+#: Bits of the hash table of the toxic dictionary's runs of bytes.
+HASH_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -25,20 +29,23 @@ class ToxicityConfig:
     """Bounds of the training sample, and the method's parameters.
 
     At most ``toxic_docs`` and ``ordinary_docs`` labelled documents of at most ``longest_chars``
-    characters train the dictionaries and the thresholds, two thirds and one third.  A
-    stretch of text trains a class's dictionary if its ``gram`` bytes occur in a share ``support`` of
-    that class's documents and ``ratio`` times as often as in the other.  ``windows`` are lengths in words.
+    characters train the dictionaries and, in ``folds`` parts, weights and threshold.  A stretch of
+    text trains the toxic dictionary if its ``gram`` bytes occur in a share ``support`` of the toxic documents
+    and ``ratio`` times as often as in ordinary ones, which train theirs whole.  ``windows`` are lengths in words.
     """
 
     toxic_docs: int = 2000
     ordinary_docs: int = 4000
     longest_chars: int = 20_000
     dictionary_bytes: int = 4096
-    gram: int = 6
+    gram: int = 7
     support: float = 0.02
     ratio: float = 10.0
     windows: tuple[int, ...] = (1, 2)
     level: int = 3
+    #: Bytes of the shortest match that zstandard makes at ``level`` in windows this short.
+    shortest_match: int = 4
+    folds: int = 3
     remembered: int = 300_000
 
 
@@ -73,6 +80,10 @@ def _grams(data: bytes, size: int) -> np.ndarray:
     return codes
 
 
+def _slots(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)
+
+
 def _counted(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     every = [np.unique(_grams(t, size)) for t in texts]
     return np.unique(np.concatenate(every or [np.empty(0, np.uint64)]), return_counts=True)
@@ -113,12 +124,19 @@ def _train(samples: list[bytes], size: int) -> bytes:
 
 
 class CompressionDistance:
-    """What the toxic dictionary saves over the ordinary one, window by window."""
+    """What the toxic dictionary saves over the ordinary one, window by window.
+
+    Windows overlap: one begins at every word.  A window of which no ``shortest_match`` bytes
+    in a row are in the toxic dictionary cannot be compressed by it and saves nothing, so only the others are compressed.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes, config: ToxicityConfig):
         self.config = config
         self.coders = [self._coder(d + MARK) for d in (ordinary, toxic)]
         self.known: dict[bytes, int] = {}
+        self.fixed = len(self.coders[1].compress(MARK))
+        self.matched = np.zeros(1 << HASH_BITS, bool)
+        self.matched[_slots(_grams(toxic, config.shortest_match))] = True
 
     def _coder(self, content: bytes) -> zstandard.ZstdCompressor:
         # As raw content: a trained entropy table would price single letters, not phrases.
@@ -130,8 +148,11 @@ class CompressionDistance:
     def _gain(self, window: bytes) -> int:
         gain = self.known.get(window)
         if gain is None:
-            ordinary, toxic = (len(c.compress(MARK + window)) for c in self.coders)
-            gain = ordinary - toxic
+            ordinary, toxic = self.coders
+            gain, size = 0, len(toxic.compress(MARK + window))
+            # Else the toxic dictionary shortens nothing; longer runs of literals have longer headers.
+            if size < len(window) + self.fixed + (len(window) > 31) + (len(window) > 4095):
+                gain = min(max(0, len(ordinary.compress(MARK + window)) - size), MOST_GAIN)
             if len(self.known) >= self.config.remembered:
                 self.known.clear()
             self.known[window] = gain
@@ -139,18 +160,23 @@ class CompressionDistance:
 
     def features(self, text: str) -> np.ndarray:
         """Per window length: how many windows save at least 1, 2, ... bytes, and the largest saving."""
-        words = text.lower().split()
+        data = _normal(text)
+        blanks = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        words = max(0, len(blanks) - 1) if data.strip() else 0
+        hits = np.flatnonzero(self.matched[_slots(_grams(data, self.config.shortest_match))]) if words else np.empty(0, int)
         out = []
         for size in self.config.windows:
-            counts = np.zeros(GAIN_STEPS + 1)
-            largest = 0
-            for at in range(0, len(words), size):
-                gain = self._gain((" " + " ".join(words[at : at + size]) + " ").encode("utf-8", "surrogatepass"))
-                if gain > 0:
-                    counts[min(gain, GAIN_STEPS)] += 1
-                    largest = max(largest, gain)
-            out += [np.log1p(counts[::-1].cumsum()[::-1][1:]), [largest / 4]]
-        return np.concatenate([*out, [np.log1p(len(words)) / 4, 1.0]])
+            counts = np.zeros(MOST_GAIN + 1)
+            if words and len(hits):
+                # A text shorter than a window is one window.
+                starts, ends = blanks[: max(1, words - size + 1)], blanks[min(size, words) :] + 1
+                some = np.searchsorted(hits, starts) < np.searchsorted(hits, ends - self.config.shortest_match, side="right")
+                for start, end in zip(starts[some].tolist(), ends[some].tolist()):
+                    counts[self._gain(data[start:end])] += 1
+            counts[0] = 0
+            largest = counts.nonzero()[0].max(initial=0)
+            out += [np.log1p(counts[::-1].cumsum()[::-1][1 : GAIN_STEPS + 1]), [largest / 4]]
+        return np.concatenate([*out, [np.log1p(words) / 4, 1.0]])
 
 
 @dataclass(frozen=True)
@@ -164,31 +190,54 @@ class ToxicityModel:
         return CompressionDistance(self.toxic, self.ordinary, self.config)
 
 
+def _dictionaries(toxic: list[str], ordinary: list[str], config: ToxicityConfig) -> tuple[bytes, bytes]:
+    one, two = ([_normal(t) for t in _distinct_lines(x)] for x in (toxic, ordinary))
+    counts = [_counted(x, config.gram) for x in (one, two)]
+    own = _own_grams(counts[0], counts[1], len(one), len(two), config)
+    return _train([_stretches(t, own, config.gram) for t in one], config.dictionary_bytes), _train(two, config.dictionary_bytes)
+
+
+def _best_cut(raw: np.ndarray, y: np.ndarray) -> float:
+    """The cut of ``raw`` at which precision and recall of the toxic rows agree best (largest F1), amid its neighbours."""
+    order = np.argsort(-raw, kind="stable")
+    raw, caught = raw[order], y[order].cumsum()
+    f1 = 2 * caught / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][raw[:-1] == raw[1:]] = -1  # No cut between equal values.
+    at = int(f1.argmax())
+    return float((raw[at] + raw[min(at + 1, len(raw) - 1)]) / 2)
+
+
 def fit(toxic: list[str], ordinary: list[str], share: float, config: ToxicityConfig) -> ToxicityModel:
-    """Dictionaries from two of every three texts, thresholds from the third.
+    """Dictionaries from all texts; weights and threshold from savings by dictionaries that have not seen the text.
 
-    ``share`` is the share of toxic documents that scores are calibrated for.  Without both
-    classes the score is that share for every text.
+    For those, each of ``folds`` parts is measured with dictionaries of the other parts.  ``share`` is the share of
+    toxic documents that scores are calibrated for.  The constant is then moved so that 0.5 is
+    the score at which precision and recall agree best, measured likewise on parts the weights have not seen.
+    With fewer texts of a class than folds the score is ``share`` for every text.
     """
-    split = lambda texts: ([t for n, t in enumerate(texts) if n % 3], texts[::3])
-    (bad, bad_check), (good, good_check) = split(toxic), split(ordinary)
-    one, two = ([_normal(t) for t in _distinct_lines(x)] for x in (bad, good))
-    counts = [_counted(x, config.gram) for x in (one, two)]
-    own = _own_grams(counts[0], counts[1], len(one), len(two), config)
-    trained_toxic = _train([_stretches(t, own, config.gram) for t in one], config.dictionary_bytes)
-    trained_ordinary = _train(two, config.dictionary_bytes)
-    distance = CompressionDistance(trained_toxic, trained_ordinary, config)
-    width = len(distance.features(""))
-    weights = np.zeros(width)
-    if bad_check and good_check:
-        x = np.array([distance.features(t) for t in [*bad_check, *good_check]])
-        y = np.r_[np.ones(len(bad_check)), np.zeros(len(good_check))]
-        count = len(y)
-        weight = np.where(y == 1, share * count / len(bad_check), (1 - share) * count / len(good_check))
-        weights = logistic(x, y, weight)
-    else:
+    dictionaries = _dictionaries(toxic, ordinary, config)
+    distance = CompressionDistance(*dictionaries, config)
+    weights = np.zeros(len(distance.features("")))
+    folds = config.folds
+    if min(len(toxic), len(ordinary)) < folds:
         weights[-1] = np.log((share + 1e-3) / (1 - share + 1e-3))
-    return ToxicityModel(trained_toxic, trained_ordinary, tuple(weights), config)
+        return ToxicityModel(*dictionaries, tuple(weights), config)
+    x, y, part = [], [], []
+    for k in range(folds):
+        others = ([t for n, t in enumerate(texts) if n % folds != k] for texts in (toxic, ordinary))
+        distance = CompressionDistance(*_dictionaries(*others, config), config)
+        for label, texts in ((1.0, toxic[k::folds]), (0.0, ordinary[k::folds])):
+            x += [distance.features(t) for t in texts]
+            y += [label] * len(texts)
+            part += [k] * len(texts)
+    x, y, part = np.array(x), np.array(y), np.array(part)
+    weight = np.where(y == 1, share * len(y) / len(toxic), (1 - share) * len(y) / len(ordinary))
+    weights = logistic(x, y, weight)
+    unseen = np.zeros(len(y))
+    for k in range(folds):
+        unseen[part == k] = x[part == k] @ logistic(x[part != k], y[part != k], weight[part != k])
+    weights[-1] -= _best_cut(unseen, y)
+    return ToxicityModel(*dictionaries, tuple(weights), config)
 
 
 def fit_from_labels(
@@ -206,7 +255,10 @@ def fit_from_labels(
     # The ids are chosen first, so that only their texts are moved.
     chosen = marks.filter("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.toxic_docs)
     chosen = chosen.unionByName(marks.filter("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.ordinary_docs))
-    sample = rows.join(chosen, "doc_id").select("doc_id", "label", "text").collect()
+    found = rows.join(chosen, "doc_id").select("doc_id", "label", "text")
+    # Once more, since rows may share an id.
+    first = lambda label, count: found.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(count).collect()
+    sample = first(1, config.toxic_docs) + first(0, config.ordinary_docs)
     sample.sort(key=lambda r: (r["doc_id"], r["text"]))
     by = lambda value: [r["text"] for r in sample if r["label"] == value]
     return fit(by(1), by(0), float(share or 0.0), config)
@@ -215,9 +267,9 @@ def fit_from_labels(
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
-    Each whole text is cut into windows of words; both dictionaries compress each window,
-    and the bytes the toxic one saves are counted by size.  A logistic function fitted on
-    texts the dictionaries have not seen turns the counts into a calibrated score.
+    Each whole text is cut into overlapping windows of words; both dictionaries compress each window
+    that the toxic one can shorten, and the bytes it saves over the other are counted by size.  A logistic
+    function fitted on texts the dictionaries had not seen turns the counts into a score.
 
     Null and empty texts have no windows and get the score of that.  Null ids and repeated rows
     are kept.  Other columns of ``docs`` are not used and may have any name.

@@ -273,6 +273,10 @@ def test_toxicity_on_held_out_labels(spark, odd, documents):
     rows = found.join(labels.filter("toxic IS NOT NULL"), "doc_id").filter("held").collect()
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.9 * len(rows)
+    caught = [r["predicted"] for r in rows if r["toxic"]]
+    wrong = [r["predicted"] for r in rows if not r["toxic"]]
+    print("toxic caught:", sum(caught), "of", len(caught), "ordinary marked:", sum(wrong), "of", len(wrong))
+    assert sum(caught) >= 0.6 * len(caught) and sum(wrong) <= 0.05 * len(wrong)
     got = toxicity.score_toxicity(odd([*ODD, (None, "x")]), model).collect()
     assert len(got) == len(ODD) + 1
     empty = odd([])
@@ -280,6 +284,28 @@ def test_toxicity_on_held_out_labels(spark, odd, documents):
     assert toxicity.score_toxicity(empty, nothing).count() == 0 and 0 <= toxicity.score_toxicity(odd(["", None]), nothing).first()["score"] <= 1
 
 
+def test_windows_that_are_not_compressed_save_nothing():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(60)]
+    toxic, ordinary = (" ".join(rng.choices(words[n : n + 40], k=200)).encode() for n in (0, 20))
+    config = toxicity.ToxicityConfig(windows=(1, 2, 5))
+    fast, plain = (toxicity.CompressionDistance(toxic, ordinary, config) for _ in range(2))
+    plain.matched[:] = True  # Every window is compressed.
+    for text in ["", " ", "a", *(" \n".join(rng.choices(words, k=rng.randint(1, 80))) for _ in range(60)), "abcd" * 3000]:
+        assert (fast.features(text) == plain.features(text)).all()
+        # A word before it moves no window of one word.
+        single = slice(0, toxicity.GAIN_STEPS + 1)
+        assert (fast.features("zzz " + text)[single] == fast.features(text)[single]).all()
+
+
+def test_toxicity_of_equal_values_and_few_texts():
+    assert toxicity._best_cut(np.array([1.0, 1.0, 0.0, 0.0]), np.array([1.0, 1.0, 0.0, 0.0])) == 0.5
+    assert toxicity._best_cut(np.array([2.0, 1.0, 1.0]), np.array([1.0, 0.0, 0.0])) == 1.5
+    model = toxicity.fit(["you idiot"], ["a fine day", "another"], 0.25, toxicity.ToxicityConfig())
+    raw = model.scorer().features("idiot") @ np.array(model.weights)
+    assert abs(1 / (1 + np.exp(-raw)) - 0.25) < 0.01
+
+
 @needs_tables
 def test_site_quality_shrinks_sparse_sites(spark, odd, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
