@@ -24,6 +24,10 @@ FLOORS = (0.1, 0.15, 0.15, 0.08, 0.12)
 #: Bins per unit of log(1 + squared distance), and of a statistic for its median.
 DISTANCE_BINS = 200
 VALUE_BINS = 200
+#: Pool of the languages too small for their own; its estimate is that of the documents of all pools.
+EVERY = "*"
+#: A pool is settled when half the logarithm of its determinant shrinks by less.
+SETTLED = 5e-4
 
 
 def text_statistics(text: Column, docs: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def chi_square_quantile(p: float, freedom: int) -> float:
 def _groups(rows: DataFrame, smallest: int) -> DataFrame:
     """``rows`` with ``pool``: its language and source, or what small groups are pooled into.
 
-    A pool below ``smallest`` goes into that of its language, and that into one for all.
+    A group below ``smallest`` goes into that of its language; a language of fewer goes into ``EVERY``.
     """
     count = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_lang = Window.partitionBy("lang")
@@ -138,7 +142,7 @@ def _groups(rows: DataFrame, smallest: int) -> DataFrame:
             "source",
             F.when(F.col("own"), F.to_json(F.struct("lang", "source")))
             .when(F.col("rest") >= smallest, F.to_json(F.struct("lang")))
-            .otherwise("*")
+            .otherwise(EVERY)
             .alias("pool"),
         )
     )
@@ -148,7 +152,8 @@ def _groups(rows: DataFrame, smallest: int) -> DataFrame:
 
 def _quantile_bins(rows: DataFrame, keys: list[str], bin_: str, q: float) -> DataFrame:
     """The first bin per key at or below which lies a share ``q`` of the rows."""
-    counts = rows.groupBy(*keys, bin_).agg(F.count("*").alias("n"))
+    # Written first: else Spark would deal the sums by ``keys`` alone for the windows, all of a pool to one task.
+    counts = materialise(rows.groupBy(*keys, bin_).agg(F.count("*").alias("n")))
     run = Window.partitionBy(*keys).orderBy(bin_)
     whole = Window.partitionBy(*keys)
     return (
@@ -187,9 +192,9 @@ def _squared_distance() -> Column:
 
 
 def _measured(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``vectors`` with ``d2``.  A left join by pool; a hot pool is split as a skewed join is."""
+    """``vectors`` with ``d2, settled``.  A left join by pool; a hot pool is split as a skewed join is."""
     joined = vectors.join(estimates.drop("n", "volume"), "pool", "left")
-    return joined.select(*vectors.columns, _squared_distance().alias("d2"))
+    return joined.select(*vectors.columns, _squared_distance().alias("d2"), "settled")
 
 
 def _start(vectors: DataFrame) -> DataFrame:
@@ -228,6 +233,7 @@ def _concentrate(vectors: DataFrame, estimates: DataFrame, share: float, inflate
         *(F.sum(x[i]).alias(f"s_{i}") for i in range(p)),
         *(F.sum(x[i] * x[j]).alias(f"s_{i}_{j}") for i, j in pairs),
     )
+    sums = materialise(sums)  # Dealt by pool and bin; the windows below then see bins only.
     run, whole = Window.partitionBy("pool").orderBy("bin"), Window.partitionBy("pool")
     totals = [c for c in sums.columns if c not in ("pool", "bin")]
     upto = sums.select("pool", "bin", F.sum("n").over(whole).alias("all"), *(F.sum(c).over(run).alias(c) for c in totals))
@@ -252,23 +258,25 @@ def quality_rules(
     share: float = 0.75,
     tail: float = 1e-6,
     smallest: int = 100,
-    steps: int = 8,
+    steps: int = 40,
 ) -> DataFrame:
-    """One row per document: ``doc_id``, the counts of ``BASE``, ``base_failed, kept, distance``.
+    """One row per document: ``doc_id``, the counts of ``BASE``, ``base_failed, kept, distance, settled``.
 
     Base rule: fewer than 50 words, or more than half of the words in three-word windows
     that occur twice or more in the text.  Documents that pass it are then compared with
     the other such documents of their language and source.  Minimum-covariance-determinant
     estimates come from C-steps on binned distances, from a median start, until no
-    determinant shrinks by more than 0.1 % or after ``steps``.  A document is rejected when
+    determinant shrinks by more than 0.1 % or after ``steps``; ``settled`` tells whether that of the document's pool
+    did not any more.  A document is rejected when
     its squared Mahalanobis distance, as it is for texts of any length, exceeds the chi-square
     quantile at ``1 - tail``: 35.9 for the default.
     Variances have a floor, since most documents have no repeated line at all and the
     covariance of the core would be singular.
 
-    Languages and sources with fewer than ``smallest`` such documents are pooled: by
-    language, then overall; a pool that is still smaller has no estimate and rejects
-    nothing.  Null text counts as empty and fails; null language or source is a value of
+    Languages and sources with fewer than ``smallest`` such documents are pooled by
+    language.  Those of languages that are still smaller are judged by an estimate over the
+    documents of all languages.  Only where all such documents together are fewer than ``smallest``
+    there is no estimate, and none is rejected.  Null text counts as empty and fails; null language or source is a value of
     its own.  Repeated rows and ties are judged alike, each on its own.  Texts are read
     whole.  Other columns of ``docs`` are not used and may have any name.
     """
@@ -277,24 +285,28 @@ def quality_rules(
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     counted = materialise(counted.withColumn("base_failed", failed).withColumns(_features()))
     passed = materialise(_groups(counted.filter("not base_failed"), smallest))
-    crowded = passed.groupBy("pool").agg(F.count("*").alias("crowd"))
-    crowded = materialise(crowded.filter(F.col("crowd") >= smallest).select("pool"))
-    vectors = materialise(passed.join(crowded, "pool", "left_semi").select("pool", *FEATURES))
+    vectors = passed.select("pool", *FEATURES)
+    sizes = passed.groupBy("pool").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max(F.col("pool") == EVERY).alias("rest")).first()
+    own = vectors.filter(F.col("pool") != EVERY) if (sizes["n"] or 0) >= smallest else vectors.limit(0)
+    if sizes["rest"] and sizes["n"] >= smallest:
+        own = own.unionByName(vectors.withColumn("pool", F.lit(EVERY)))
+    vectors = materialise(own)
 
     p = len(FEATURES)
     inflate = share / chi_square_cdf(chi_square_quantile(share, p), p + 2)
-    estimates = _start(vectors)
+    estimates = _start(vectors).withColumn("settled", F.lit(False))
     for step in range(steps):
         nearer = _concentrate(vectors, estimates, share, inflate)
-        change = nearer.join(estimates.select("pool", F.col("volume").alias("before")), "pool")
-        largest = change.agg(F.max(F.abs(F.col("volume") - F.col("before")))).first()[0]
-        estimates = nearer
-        if step and (largest is None or largest < 5e-4):
+        # The first step comes from another kind of estimate.
+        same = F.lit(step > 0) & (F.col("before") - F.col("volume") < SETTLED)
+        before = estimates.select("pool", F.col("volume").alias("before"))
+        estimates = materialise(nearer.join(before, "pool").withColumn("settled", same).drop("before"))
+        if estimates.filter(~F.col("settled")).isEmpty():
             break
 
     judged = _measured(passed, estimates).withColumnRenamed("d2", "distance")
     keep = F.coalesce(F.col("distance") <= chi_square_quantile(1 - tail, p), F.lit(True))
     columns = ["doc_id", *BASE, "base_failed"]
-    judged = judged.select(*columns, keep.alias("kept"), "distance")
-    dropped = counted.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
+    judged = judged.select(*columns, keep.alias("kept"), "distance", "settled")
+    dropped = counted.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("boolean").alias("settled"))
     return judged.unionByName(dropped)

@@ -261,8 +261,56 @@ def test_quality_catches_junk_of_every_length(spark, documents):
         junk, clean = ([r for r in own if r["quality"] == q] for q in (0, 1))
         lost[longest] = (sum(r["kept"] for r in junk), len(junk), sum(not r["kept"] for r in clean), len(clean))
     print("words up to: junk kept, junk, clean lost, clean:", lost)
-    # The long one is in a pool too small to be judged.
-    assert all(lost[n][0] <= most and lost[n][2] == 0 for n, most in ((100, 1), (200, 0), (10**9, 1)))
+    assert all(lost[n][0] <= most and lost[n][2] == 0 for n, most in ((100, 1), (200, 0), (10**9, 0)))
+
+
+def plain_estimate(x, share=0.75):
+    """Minimum covariance determinant by C-steps on sorted distances."""
+    p = x.shape[1]
+    centre, spread = np.median(x, axis=0), 1.4826 * np.median(abs(x - np.median(x, axis=0)), axis=0)
+    cover = np.diag(spread**2 + np.array(quality_rules.FLOORS) ** 2)
+    inflate = share / quality_rules.chi_square_cdf(quality_rules.chi_square_quantile(share, p), p + 2)
+    distance = lambda: np.einsum("ni,ij,nj->n", x - centre, np.linalg.inv(cover), x - centre)
+    for _ in range(60):
+        core = x[np.argsort(distance(), kind="stable")[: int(np.ceil(share * len(x)))]]
+        centre, cover = core.mean(axis=0), inflate * np.cov(core.T, bias=True) + np.diag(np.array(quality_rules.FLOORS) ** 2)
+    return distance()
+
+
+def test_quality_estimates_equal_plain_ones_per_source(spark):
+    """Two sources of different styles, and a language too small for a pool of its own."""
+    rng = random.Random(8)
+
+    def text(marks, longest):
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, longest))) + ("," if rng.random() < marks else "") for _ in range(rng.randint(60, 300)))
+
+    rows = [(n, text(0.05, 5), "en", "plain") for n in range(260)] + [(n, text(0.6, 14), "en", "marked") for n in range(260, 520)]
+    rows += [(520, text(0.05, 5), "xx", "few"), (521, " ".join(["#$%!?" * 4] * 80 + [str(n) for n in range(80)]), "xx", "few"), (522, None, None, None)]
+    rows += [(523, text(0.6, 14), "en", "plain"), (524, text(0.05, 5), "en", "marked"), (524, rows[0][1], "en", "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.quality_rules(docs).filter("not base_failed").collect()
+    assert len(got) == len(rows) - 1 and all(r["settled"] for r in got) and all(r["distance"] is not None for r in got)
+    features = quality_rules.text_statistics(F.col("text"), docs).select("doc_id", "lang", "source", "n_words", *(c.alias(n) for n, c in quality_rules._features().items()))
+    features = features.filter("n_words >= 50").collect()
+    cut = quality_rules.chi_square_quantile(1 - 1e-6, len(quality_rules.FEATURES))
+    for pool in (("en", "plain"), ("en", "marked"), None):
+        own = [r for r in features if pool in (None, (r["lang"], r["source"]))]
+        want = plain_estimate(np.array([[r[f] for f in quality_rules.FEATURES] for r in own]))
+        for r, d in zip(own, want):
+            if pool or r["lang"] == "xx":
+                found = [g for g in got if g["doc_id"] == r["doc_id"]]
+                # Bins of distances let a few rows more into the core.
+                assert any(abs(g["distance"] - d) <= 0.1 * d + 0.1 for g in found)
+                assert d / cut > 0.8 or any(g["kept"] for g in found)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    # What is ordinary in one source is far away in the other.
+    assert not kept[523] and not kept[521] and kept[520] and sum(kept[n] for n in range(520)) >= 515
+
+
+def test_quality_of_few_documents_rejects_nothing(odd):
+    got = quality_rules.quality_rules(odd([" ".join(f"word{n}" for n in range(60))] * 3 + ["# " * 10])).collect()
+    assert [r["kept"] for r in sorted(got, key=lambda r: r["doc_id"])] == [True] * 3 + [False]
+    assert all(r["settled"] is None for r in got)
 
 
 @needs_tables
