@@ -28,6 +28,8 @@ VALUE_BINS = 200
 EVERY = "*"
 #: A pool is settled when half the logarithm of its determinant shrinks by less.
 SETTLED = 5e-4
+#: Parts of a pool's rows where they are joined with its estimate.
+SALTS = 16
 
 
 def text_statistics(text: Column, docs: DataFrame) -> DataFrame:
@@ -192,8 +194,9 @@ def _squared_distance() -> Column:
 
 
 def _measured(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``vectors`` with ``d2, settled``.  A left join by pool; a hot pool is split as a skewed join is."""
-    joined = vectors.join(estimates.drop("n", "volume"), "pool", "left")
+    """``vectors`` with ``d2, settled``.  A left join by pool and salt, so that a hot pool is split and sums after it are not dealt by pool."""
+    salted = estimates.drop("n", "volume").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    joined = vectors.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS))).join(salted, ["pool", "salt"], "left")
     return joined.select(*vectors.columns, _squared_distance().alias("d2"), "settled")
 
 
