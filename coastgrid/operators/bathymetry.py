@@ -425,8 +425,84 @@ def read_bathymetry(df: DataFrame) -> DataFrame:
     )
 
 
-def normalise_axes(df: DataFrame, domains: DataFrame) -> DataFrame:
-    """Accept a table stored with i and j swapped; extents that match neither way give ``fits`` false.
+def _refuse(bad: DataFrame, strict: bool, why: str) -> None:
+    """Raise with up to five of the ``grid_id`` of ``bad`` if ``strict``."""
+    if strict:
+        named = [str(r["grid_id"]) for r in bad.select("grid_id").orderBy("grid_id").limit(5).collect()]
+        require(not named, f"{why}: grids {', '.join(named)}")
+
+
+def _stored_axis(df: DataFrame, idx: str) -> DataFrame:
+    """One row per grid: whether ``lon`` or ``lat`` is the same all along each ``idx``, and both in its order.
+
+    Sums are made by index first, so an axis has as many entries as cells along it.
+    """
+    lines = df.groupBy("grid_id", F.col(idx).alias("n")).agg(
+        *(f(c).alias(f"{c}_{f.__name__}") for c in ("lon", "lat") for f in (F.min, F.max))
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("n", "lon_min", "lat_min")))
+    return lines.groupBy("grid_id").agg(
+        F.bool_and(F.col("lon_min") == F.col("lon_max")).alias(f"{idx}_lon"),
+        F.bool_and(F.col("lat_min") == F.col("lat_max")).alias(f"{idx}_lat"),
+        ((F.min("n") == 1) & (F.max("n") == F.count("*"))).alias(f"{idx}_whole"),
+        F.transform(ordered, lambda x: F.struct(x["lon_min"].alias("lon"), x["lat_min"].alias("lat"))).alias(f"{idx}_values"),
+    )
+
+
+def stored_domains(df: DataFrame) -> DataFrame:
+    """The domain that each grid's cell centres ``grid_id, i, j, lon, lat`` span, one row per grid.
+
+    ``swapped`` tells that i runs along ``lat``; ``x_down`` and ``y_down`` that an axis is stored in falling order.
+    ``fits`` is false, and all else but the flags null, unless each axis depends on one index alone, has a row for
+    each index from 1 on, has two or more centres, and rises or falls strictly.  Faces lie midway between
+    centres; both ends are extended by half the first spacing of the rising axis.
+    """
+    axes = _stored_axis(df, "i").join(_stored_axis(df, "j"), "grid_id")
+    straight = F.col("i_lon") & F.col("j_lat")
+    swapped = ~straight & F.col("i_lat") & F.col("j_lon")
+    pick = lambda c, one, other: F.transform(F.when(swapped, F.col(f"{other}_values")).otherwise(F.col(f"{one}_values")), lambda v: v[c])
+    axes = axes.withColumns({"swapped": swapped, "_x": pick("lon", "i", "j"), "_y": pick("lat", "j", "i")})
+    steps = lambda a: F.transform(F.slice(a, 2, F.size(a) - 1), lambda v, k: v - F.get(F.col(a), k))
+    fits = (straight | swapped) & F.col("i_whole") & F.col("j_whole")
+    for a, name in (("_x", "x"), ("_y", "y")):
+        down = F.forall(steps(a), lambda d: d < 0)
+        fits = fits & (F.size(a) > 1) & (down | F.forall(steps(a), lambda d: d > 0))
+        axes = axes.withColumn(f"{name}_down", down & (F.size(a) > 1))
+    axes = axes.withColumn("fits", F.coalesce(fits, F.lit(False)))
+    for a, name, n, low, high in (("_x", "x", "nx", "west", "east"), ("_y", "y", "ny", "south", "north")):
+        rising = F.when(F.col(f"{name}_down"), F.reverse(a)).otherwise(F.col(a))
+        axes = axes.withColumn(a, F.when(F.col("fits"), rising))
+        half = (F.get(a, F.lit(1)) - F.get(a, F.lit(0))) / 2
+        inner = F.transform(F.slice(a, 2, F.size(a) - 1), lambda v, k: (v + F.get(F.col(a), k)) / 2)
+        faces = F.concat(F.array(F.get(a, F.lit(0)) - half), inner, F.array(F.element_at(a, -1) + half))
+        axes = axes.withColumn(f"{name}_faces", F.when(F.col("fits"), faces)).withColumns(
+            {n: F.when(F.col("fits"), F.size(a)), low: F.get(f"{name}_faces", F.lit(0)), high: F.element_at(f"{name}_faces", -1)}
+        )
+    return axes.select("grid_id", "nx", "ny", "west", "east", "south", "north", "x_faces", "y_faces", "swapped", "x_down", "y_down", "fits")
+
+
+def read_stored_grid(df: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Cells and domains of tables stored with their centres ``lon, lat``, in any orientation.
+
+    Cells get the i of their rank along rising ``lon``, the j along rising ``lat``, and the normalised heights of
+    ``read_bathymetry``.  Grids that are no rectangle of two rising or falling axes are an error that names up to five,
+    or left out unless ``strict``.
+    """
+    found = summary_table(stored_domains(df))
+    _refuse(found.filter(~F.col("fits")), strict, "centres span no two rising or falling axes")
+    found = found.filter("fits")
+    turns = found.select("grid_id", "nx", "ny", "swapped", "x_down", "y_down")
+    cells = df.drop("nx", "ny").join(turns, "grid_id")
+    along = lambda one, other: F.when(F.col("swapped"), F.col(other)).otherwise(F.col(one))
+    turned = {
+        idx: F.when(F.col(f"{axis}_down"), F.col(n) + 1 - along(idx, other)).otherwise(along(idx, other)).cast("int")
+        for idx, other, axis, n in (("i", "j", "x", "nx"), ("j", "i", "y", "ny"))
+    }
+    return read_bathymetry(cells.withColumns(turned).select(*CELL)), found.drop("swapped", "x_down", "y_down", "fits")
+
+
+def normalise_axes(df: DataFrame, domains: DataFrame, strict: bool = False) -> DataFrame:
+    """Accept a table stored with i and j swapped; extents that match neither way give ``fits`` false, or an error if ``strict``.
 
     ``domains`` holds the axis lengths ``nx, ny`` of each ``grid_id``.
     """
@@ -438,6 +514,7 @@ def normalise_axes(df: DataFrame, domains: DataFrame) -> DataFrame:
             "grid_id", "nx", "ny", straight.alias("_straight"), swapped.alias("_swapped")
         )
     )
+    _refuse(state.filter("NOT (_straight OR _swapped)"), strict, "extents fit the domain neither way")
     straight = F.col("_straight")
     return df.drop("nx", "ny").join(state, "grid_id").withColumns(
         {

@@ -128,6 +128,28 @@ SELECT grid_id, nx, ny, i, j, true AS fits,
        CASE WHEN grid_id % 3 = 0 THEN -abs(h) ELSE h END + 0e0 AS h FROM bathy"""
 
 
+def s8_stored_axes(spark, sf):
+    """Half of the tables have their axes swapped, a third run from north to south, a fifth from east to west; faces from centres."""
+    cells = fx.bathymetry(spark, sf)
+    i = F.when(F.col("grid_id") % 5 == 0, F.col("nx") + 1 - F.col("i")).otherwise(F.col("i"))
+    j = F.when(F.col("grid_id") % 3 == 0, F.col("ny") + 1 - F.col("j")).otherwise(F.col("j"))
+    swapped = F.col("grid_id") % 2 == 1
+    stored = cells.select("grid_id", F.when(swapped, j).otherwise(i).alias("i"), F.when(swapped, i).otherwise(j).alias("j"), "lon", "lat", "h")
+    found, domains = bathy.read_stored_grid(stored)
+    faces = domains.select("grid_id", "x_faces", "y_faces")
+    sides = {"west": ("x_faces", "i", 0), "east": ("x_faces", "i", 1), "south": ("y_faces", "j", 0), "north": ("y_faces", "j", 1)}
+    return found.join(faces, "grid_id").select(
+        "grid_id", "nx", "ny", "i", "j", "h", *(F.round(F.element_at(a, F.col(n) + d), 6).alias(name) for name, (a, n, d) in sides.items())
+    )
+
+
+S8_AXES_SQL = f"""WITH {fx.D_BATHY}, lowest AS (SELECT grid_id, min(h) AS low FROM bathy GROUP BY 1)
+SELECT b.grid_id, b.nx, b.ny, b.i, b.j, CASE WHEN low >= 0 THEN -h ELSE h END + 0e0 AS h,
+       round(west + (b.i - 1) * ((east - west) / b.nx), 6) AS west, round(west + b.i * ((east - west) / b.nx), 6) AS east,
+       round(south + (b.j - 1) * ((north - south) / b.ny), 6) AS south, round(south + b.j * ((north - south) / b.ny), 6) AS north
+FROM bathy b JOIN domain d ON b.grid_id = d.grid_id JOIN lowest l ON b.grid_id = l.grid_id"""
+
+
 def s9_read_field(spark, sf):
     forcing = fx.forcing(spark, sf)
     return sources.read_field(
@@ -291,6 +313,7 @@ QUERIES = {
     "S6_contour_rows": (s6_contour_rows, S6_SQL),
     "S7_read_land_features": (s7_read_land_features, S7_SQL),
     "S8_read_bathymetry": (s8_read_bathymetry, S8_SQL),
+    "S8_stored_axes": (s8_stored_axes, S8_AXES_SQL),
     "S9_read_field": (s9_read_field, S9_SQL),
     "K1_write_bathymetry": (k1_write_bathymetry, K1_SQL),
     "K2_write_forcing": (k2_write_forcing, K2_SQL),

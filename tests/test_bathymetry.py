@@ -160,6 +160,47 @@ def test_axes_may_be_swapped(cells, domain):
     assert not any(r.fits for r in bathy.normalise_axes(turned, domain(5, 5)).collect())
 
 
+def test_misfit_axes_are_an_error_when_strict(cells, domain):
+    df = cells([[-1, -2, -3], [-4, -5, -6]])
+    with pytest.raises(ValidationError, match="grids 1"):
+        bathy.normalise_axes(df, domain(5, 5), strict=True)
+    assert bathy.normalise_axes(df, domain(3, 2), strict=True).filter("fits").count() == 6
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+@pytest.mark.parametrize("x_down", [False, True])
+def test_domain_from_stored_centres(spark, swapped, x_down):
+    """Uneven axes; the last spacing does not set the end."""
+    lon, lat = [1.0, 2.0, 4.0], [59.0, 58.0]
+    xs = lon[::-1] if x_down else lon
+    rows = [(1, *((b, a) if swapped else (a, b)), x, y, -10 * x - y) for a, x in enumerate(xs, 1) for b, y in enumerate(lat, 1) if (x, y) != (2.0, 58.0)]
+    found, domains = bathy.read_stored_grid(spark.createDataFrame(rows, "grid_id int, i int, j int, lon double, lat double, h double"))
+    d = domains.first()
+    assert (d.nx, d.ny, d.x_faces, d.y_faces) == (3, 2, [0.5, 1.5, 3.0, 4.5], [57.5, 58.5, 59.5])
+    assert (d.west, d.east, d.south, d.north) == (0.5, 4.5, 57.5, 59.5)
+    assert {(r.i, r.j): r.h for r in found.collect()} == {(lon.index(x) + 1, 2 if y == 59.0 else 1): h for *_, x, y, h in rows}
+
+
+def test_centres_that_span_no_axes(spark):
+    schema = "grid_id int, i int, j int, lon double, lat double, h double"
+    square = [(1, 1, 1.0, 5.0), (2, 1, 2.0, 5.0), (1, 2, 1.0, 6.0), (2, 2, 2.0, 6.0)]
+    tables = {
+        1: square,
+        2: [(i, j, x + 0.1 * j, y) for i, j, x, y in square],  # turned
+        3: [(i, j, 1.0, y) for i, j, _, y in square],  # two centres alike
+        4: square[::2],  # one centre along an axis
+        5: [(2 * i, j, x, y) for i, j, x, y in square],  # index 1 is missing
+        6: [(i, j, None, y) for i, j, _, y in square],
+    }
+    df = spark.createDataFrame([(g, *r, -1.0) for g, rows in tables.items() for r in rows], schema)
+    with pytest.raises(ValidationError, match="grids 2, 3, 4, 5, 6"):
+        bathy.read_stored_grid(df)
+    kept, domains = bathy.read_stored_grid(df, strict=False)
+    assert [r.grid_id for r in domains.collect()] == [1] and kept.count() == 4
+    none = spark.createDataFrame([], schema)
+    assert bathy.read_stored_grid(none)[0].count() == 0
+
+
 def test_regrid_is_exact_on_a_plane_and_floors(cells, matrix, domain):
     plane = [[-(10.0 + i + 2 * j) for j in range(8)] for i in range(10)]
     d = domain(10, 8)

@@ -136,6 +136,7 @@ def test_rasterize_even_odd(spark, domain):
     df = spark.createDataFrame(features, "grid_id int, id int, geom array<array<struct<x double, y double>>>")
     skerry = spark.createDataFrame([(1, 0.5, 9.5), (1, 42.0, 1.0)], "grid_id int, x double, y double")
     got = {(r.i, r.j) for r in soundings.rasterize_land(soundings.polygon_edges(df), d, skerry).collect()}
+    assert {(r.i, r.j) for r in soundings.rasterize_land(None, d, skerry).collect()} == {(1, 10)}
     expected = {(1, 10)}
     for _, _, rings in features:
         edges = [(r[n], r[(n + 1) % len(r)]) for r in rings for n in range(len(r))]
