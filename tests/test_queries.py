@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from driver_queries import oracle_sql, queries
+from driver_queries import fixtures, oracle_sql, queries
 from driver_queries.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,18 @@ def test_no_cross_or_nested_loop_joins(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("table", ["spine", "source_values"])
+def test_exploded_rows_are_not_taken_for_few(spark, table):
+    """Estimated below their true size, they would be broadcast through the driver."""
+    rows = getattr(fixtures, table)(spark, SF)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size >= rows.count() * 8 * len(rows.columns)
+
+
+def test_river_series_are_not_broadcast(spark):
+    assert "BroadcastHashJoin" not in _plan(queries()["S4_read_river_series"](spark, SF))
+
+
 def test_one_exchange_serves_both_stencil_axes(spark, cells):
     from coastgrid.functions.tiles import with_neighbours
 
