@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -66,6 +67,10 @@ def test_river_series_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in _plan(queries()["S4_read_river_series"](spark, SF))
 
 
+def test_hours_of_months_are_not_held_one_by_one(spark):
+    assert not re.search(r"Aggregate\(keys?=\[[^\]]*\bts#", _plan(queries()["T12_month_hours"](spark, SF)))
+
+
 def test_one_exchange_serves_both_stencil_axes(spark, cells):
     from coastgrid.functions.tiles import with_neighbours
 
