@@ -247,3 +247,11 @@ def test_a_pair_over_a_tile_border_wakes_both_tiles(spark):
 def test_strict_reaches_through_smoothing(cells):
     with pytest.raises(ValidationError, match="still above"):
         bathy.smooth_gaps(cells([[-1000.0] * 3, [-1.0] * 3, [-1000.0] * 3, [-1.0] * 3]), max_slope_factor=1e-6, strict=True)
+
+
+def test_small_tiles_share_a_call(spark):
+    cells = spark.createDataFrame([(1, 20, 15, i, j, -1.0) for i in range(1, 21) for j in range(1, 16)], "grid_id int, nx int, ny int, i int, j int, h double")
+    tiled = bathy.spread_to_tiles(cells, ["grid_id"], 5, 4)
+    calls = bathy._per_tile(tiled, lambda rows: rows.assign(n=len(rows)).head(1)[["n"]], "n long", 5, 4).collect()
+    assert [r.n for r in calls] == [tiled.count()]
+    assert bathy._per_tile(tiled, lambda rows: rows.assign(n=len(rows)).head(1)[["n"]], "n long", 65, 0).count() == 12
