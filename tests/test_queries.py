@@ -89,3 +89,8 @@ def test_scan_reads_only_what_a_query_needs(spark):
 
 def test_every_query_has_a_twin():
     assert set(queries()) == set(oracle_sql())
+
+
+def test_forcing_groups_the_order_lines_once(spark):
+    """Its bathymetry is written: neither variable, nor a pass of a query over it, reads the order lines again."""
+    assert "l_orderkey" not in _plan(fixtures.forcing(spark, SF))
