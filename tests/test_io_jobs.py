@@ -282,3 +282,22 @@ def test_a_month_job_goes_on_where_it_was_lost(spark, tmp_path, monkeypatch):
     assert _months(path, spark) == {(2020, m): 36 for m in (1, 2, 3)}
     rain = sinks.read_published(spark, path).filter("variable = 'rain' AND i = 2").select("value").distinct().collect()
     assert [r.value for r in rain] == [2 / 3600]
+
+
+def test_state_is_found_in_one_pass(spark, monkeypatch):
+    """Extents and times come from one summary, so the table is read once for them and once for the record."""
+    stamp = F.lit("2020-01-01 12:00:00").cast("timestamp_ntz")
+    results = spark.range(1, 3).select(
+        F.lit(1).alias("grid_id"), F.lit("T").alias("variable"), F.lit("ccc").alias("loc"), stamp.alias("ts"),
+        F.lit(1).alias("k"), F.lit(1).alias("j"), F.col("id").cast("int").alias("i"), F.lit(10.0).alias("value"),
+    )
+    d = spark.createDataFrame([(1, 2, 1, 1)], "grid_id int, nx int, ny int, nz int")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for batch in rows:
+            reads.add(batch.num_rows)
+            yield batch
+
+    out = checks.read_state(results.mapInArrow(counted, results.schema), d, ["T"], stamp).collect()
+    assert [r.value for r in out] == [10.0, 10.0] and reads.value == 2 * 2
