@@ -67,6 +67,16 @@ def test_river_series_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in _plan(queries()["S4_read_river_series"](spark, SF))
 
 
+@pytest.mark.parametrize(("name", "key"), [("R2_snap_outlets", "_bi")])
+def test_unpacked_rows_are_not_broadcast(spark, name, key):
+    """Nodes in each bucket they reach."""
+    df = queries()[name](spark, SF)
+    df.collect()  # adaptive plans turn to broadcasts while they run
+    joins = re.findall(r"(\w+Join) ([^\n]*)", _plan(df))
+    kinds = {kind for kind, rest in joins if f"{key}#" in rest}
+    assert kinds == {"SortMergeJoin"}
+
+
 def test_hours_of_months_are_not_held_one_by_one(spark):
     assert not re.search(r"Aggregate\(keys?=\[[^\]]*\bts#", _plan(queries()["T12_month_hours"](spark, SF)))
 
