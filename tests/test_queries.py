@@ -67,9 +67,9 @@ def test_river_series_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in _plan(queries()["S4_read_river_series"](spark, SF))
 
 
-@pytest.mark.parametrize(("name", "key"), [("R2_snap_outlets", "_bi")])
+@pytest.mark.parametrize(("name", "key"), [("R2_snap_outlets", "_bi"), ("I5_fill_map", "src_lev")])
 def test_unpacked_rows_are_not_broadcast(spark, name, key):
-    """Nodes in each bucket they reach."""
+    """Nodes in each bucket they reach, and cells out of the rows of a level."""
     df = queries()[name](spark, SF)
     df.collect()  # adaptive plans turn to broadcasts while they run
     joins = re.findall(r"(\w+Join) ([^\n]*)", _plan(df))
