@@ -205,3 +205,18 @@ def test_gathers_are_dealt_by_tile(spark, plane):
     dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
     assert any("tile_i" in keys and "tile_j" in keys for keys in dealt)
     assert all("i0" in keys or "tile_i" in keys for keys in dealt), dealt
+
+
+def test_domains_on_one_another_share_their_land(spark):
+    rows = [(n, 10, 10, west, west + 10.0, 0.0, 10.0) for n, west in ((4, 0.0), (2, 0.0), (3, 5.0))]
+    d = spark.createDataFrame(rows, "grid_id int, nx int, ny int, west double, east double, south double, north double")
+    shared, members = soundings.shared_grids(d)
+    assert sorted(r.grid_id for r in shared.collect()) == [2, 3]
+    assert {(r.grid_id, r.shared_id) for r in members.collect()} == {(2, 2), (4, 2), (3, 3)}
+    features = spark.createDataFrame([(1, "land", [[(4.0, 4.0), (8.0, 4.0), (8.0, 8.0), (4.0, 8.0)]])], "id int, layer string, geom array<array<struct<x:double,y:double>>>")
+
+    def land(domains):
+        return soundings.rasterize_land(soundings.polygon_edges(soundings.read_land_features(features, domains, ["land"])), domains)
+
+    once = members.join(land(shared).withColumnRenamed("grid_id", "shared_id"), "shared_id").select("grid_id", "i", "j")
+    assert {tuple(r) for r in once.collect()} == {tuple(r) for r in land(d).collect()} and once.count() > 0
