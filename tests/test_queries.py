@@ -104,3 +104,13 @@ def test_every_query_has_a_twin():
 def test_forcing_groups_the_order_lines_once(spark):
     """Its bathymetry is written: neither variable, nor a pass of a query over it, reads the order lines again."""
     assert "l_orderkey" not in _plan(fixtures.forcing(spark, SF))
+
+
+def test_days_out_of_gaps_are_not_broadcast(spark):
+    """Nor blended one by one: a pair of records is grouped once for all days between."""
+    df = queries()["T7_blend_steps"](spark, SF)
+    df.collect()
+    plan = _plan(df)
+    joins = re.findall(r"(\w+Join) \[series#\d+, (?:src_ts|lower_ts)", plan)
+    assert joins and set(joins) == {"SortMergeJoin"}
+    assert not re.search(r"Aggregate\(keys?=\[series#\d+, (?:step_)?ts#\d+\]", plan.split("== Initial Plan ==")[0])
