@@ -114,3 +114,20 @@ def test_days_out_of_gaps_are_not_broadcast(spark):
     joins = re.findall(r"(\w+Join) \[series#\d+, (?:src_ts|lower_ts)", plan)
     assert joins and set(joins) == {"SortMergeJoin"}
     assert not re.search(r"Aggregate\(keys?=\[series#\d+, (?:step_)?ts#\d+\]", plan.split("== Initial Plan ==")[0])
+
+
+def test_runs_are_shuffled_by_the_run_once(spark):
+    """Their leads are unpacked after the last exchange, and no join takes them for few."""
+    plan = _plan(queries()["T14_deaccumulate"](spark, SF))
+    assert "Join" not in plan and len(re.findall(r"Exchange hashpartitioning\(cell#\d+, run_ts", plan)) == 1
+
+
+def test_months_read_the_written_runs(spark, monkeypatch):
+    """Not the events again for every group of months."""
+    from driver_queries import interp
+
+    seen = []
+    publish = interp.publish_pending_months
+    monkeypatch.setattr(interp, "publish_pending_months", lambda runs, *rest, **options: (seen.append(_plan(runs)), publish(runs, *rest, **options)))
+    queries()["T14_publish_pending_months"](spark, SF)
+    assert len(seen) == 2 and not any("events" in plan for plan in seen)
