@@ -1,4 +1,4 @@
-"""Gradient-boosted trees and logistic regression on small, bounded training samples."""
+"""Gradient-boosted trees and logistic regression on training rows that fit the driver: samples, or counted examples."""
 
 from __future__ import annotations
 
@@ -71,14 +71,17 @@ def _tree(x, slope, curve, rows, depth: int, rate: float, least: float):
     return (best[1], best[2], grow(rows[goes_left]), grow(rows[~goes_left]))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, least: float = 1.0) -> BoostedTrees:
-    """Logistic loss; ``least`` is the smallest sum of curvatures in a leaf."""
-    share = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
+def boost(
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 40, depth: int = 3, rate: float = 0.3, least: float = 1.0
+) -> BoostedTrees:
+    """Logistic loss; a row counts ``weight`` times, ``least`` is the smallest sum of curvatures in a leaf."""
+    weight = np.ones(len(y)) if weight is None else weight
+    share = min(max(float(np.average(y, weights=weight)) if len(y) else 0.0, 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
     raw, trees = np.full(len(y), base), []
     for _ in range(rounds if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-        tree = _tree(x, p - y, np.maximum(p * (1 - p), 1e-6), np.arange(len(y)), depth, rate, least)
+        tree = _tree(x, weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6), np.arange(len(y)), depth, rate, least)
         trees.append(tree)
         BoostedTrees(0.0, ())._add(tree, x, np.arange(len(y)), raw)
     return BoostedTrees(base, tuple(trees))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,6 +26,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SOME = re.compile(r"[0-9@]|[\(\[]\x20?at\x20?[\)\]]", re.I)
+_SOME_SQL = f"(?i){_SOME.pattern}"
 
 #: Candidate generators: (kind, pattern), wide on purpose.  Their spans may overlap.
 GENERATORS = (
@@ -209,8 +211,11 @@ class _Cover:
         ]
 
 
-def fit(texts: list[str], precision: float = 0.98) -> PersonalDataModel:
-    """Trees from texts whose base spans are the positives.
+Example = tuple[list[float], int]  # features, label
+
+
+def examples(text: str) -> Iterator[Example]:
+    """What one text teaches: candidates and rewritten ones with label 1 for personal data, else 0.
 
     A candidate that equals a base span is positive, and so is one that goes on from a base span of its kind
     without a blank (``jürgen@firma.de`` around ``rgen@firma.de``).  One that overlaps none is negative if its
@@ -218,43 +223,52 @@ def fit(texts: list[str], precision: float = 0.98) -> PersonalDataModel:
     the base patterns do not read, teach nothing.  Each positive also teaches broken copies of itself (wrong check digit, part above
     255, too few digits, no domain) as negatives, since texts alone hold few near misses, and copies in
     styles the base patterns do not read (accents, "(at)", spaced and comma IPs, IPv6, cards of 13 to 15 digits, slashes,
-    national phone numbers) as positives, some for each generator.  Two thirds of the texts
-    grow the trees, on the others each kind gets the least threshold, at least one half, that reaches
-    ``precision``; a kind without examples is never added.
+    national phone numbers) as positives, some for each generator.
     """
-    rows: list[tuple[bool, int, list[float], int]] = []
-    for n, text in enumerate(texts):
-        base = base_spans(text)
-        cover, exact = _Cover(base), set(base)
-        for span in candidates(text):
-            if span in exact:
-                rows.append((n % 3 == 0, span[0], describe(text, span), 1))
-                rows += [(n % 3 == 0, span[0], describe(*other), 0) for other in _rewritten(text, span, _broken(span[0], text[span[1] : span[2]]))]
-                rows += [(n % 3 == 0, span[0], describe(*other), 1) for other in _rewritten(text, span, _restyled(span[0], text[span[1] : span[2]]))]
-            elif cover.free(span[1], span[2]):
-                if refuted(span[0], text[span[1] : span[2]]):
-                    rows.append((n % 3 == 0, span[0], describe(text, span), 0))
-            elif cover.inside(span[1], span[2]):
-                own = [(a, b) for a, b in cover.holds(span[1], span[2]) if (span[0], a, b) in exact]
-                blank = any(" " in text[span[1] : a] + text[b : span[2]] for a, b in own)
-                if own and (span[0] == 0 or not blank):
-                    rows.append((n % 3 == 0, span[0], describe(text, span), int(not blank)))
-    train = [r for r in rows if not r[0]]
-    check = [r for r in rows if r[0]]
-    trees = boost(np.array([r[2] for r in train]).reshape(-1, FEATURES), np.array([r[3] for r in train], float))
-    p = trees.probability(np.array([r[2] for r in check]).reshape(-1, FEATURES))
+    base = base_spans(text)
+    cover, exact = _Cover(base), set(base)
+    for span in candidates(text):
+        inside = text[span[1] : span[2]]
+        if span in exact:
+            yield describe(text, span), 1
+            yield from ((describe(*other), 0) for other in _rewritten(text, span, _broken(span[0], inside)))
+            yield from ((describe(*other), 1) for other in _rewritten(text, span, _restyled(span[0], inside)))
+        elif cover.free(span[1], span[2]):
+            if refuted(span[0], inside):
+                yield describe(text, span), 0
+        elif cover.inside(span[1], span[2]):
+            own = [(a, b) for a, b in cover.holds(span[1], span[2]) if (span[0], a, b) in exact]
+            blank = any(" " in text[span[1] : a] + text[b : span[2]] for a, b in own)
+            if own and (span[0] == 0 or not blank):
+                yield describe(text, span), int(not blank)
+
+
+def _fit_rows(x: np.ndarray, label: np.ndarray, check: np.ndarray, n: np.ndarray, precision: float) -> PersonalDataModel:
+    """Trees from the rows not held for the check; on the others each kind gets the least threshold, at least
+    one half, that reaches ``precision``.  A row counts ``n`` times; a kind without examples is never added."""
+    trees = boost(x[~check], label[~check].astype(float), n[~check].astype(float))
+    p = trees.probability(x[check])
     thresholds = []
     for kind in range(len(KINDS)):
-        own = sorted(((p[n], r[3]) for n, r in enumerate(check) if r[1] == kind), reverse=True)
-        least, right = 2.0, 0
-        for seen, (score, true) in enumerate(own, 1):
-            right += true
+        mine = x[check][:, 0] == kind
+        own = sorted(zip(p[mine], label[check][mine].tolist(), n[check][mine].tolist()), reverse=True)
+        least, right, seen = 2.0, 0, 0
+        for score, true, times in own:
+            seen += times
+            right += true * times
             if score >= 0.5 and right >= precision * seen:
                 least = score
         thresholds.append(float(least))
     return PersonalDataModel(trees, tuple(thresholds))
 
 
+def fit(texts: list[str], precision: float = 0.98) -> PersonalDataModel:
+    """Trees from the ``examples`` of two thirds of the texts, thresholds from the others'."""
+    rows = [(n % 3 == 0, *example) for n, text in enumerate(texts) for example in examples(text)]
+    x = np.array([r[1] for r in rows]).reshape(-1, FEATURES)
+    return _fit_rows(x, np.array([r[2] for r in rows], int), np.array([r[0] for r in rows], bool), np.ones(len(rows), int), precision)
+
+
 _DATE = re.compile(r"[0-9]{1,4}([./-])[0-9]{1,2}\1[0-9]{1,4}|(?:(?:19|20)[0-9]{2}[\x20./-]*)+")
 
 
@@ -339,6 +353,51 @@ def _rewritten(text: str, span: Span, others: list[str]) -> Iterator[tuple[str,
         yield before + other + after, (kind, len(before), len(before) + len(other))
 
 
+#: Features that are shares, counted in sixteenths; all others are lengths and counts.
+_SHARES = [19]
+
+
+def _binned(features: list[float]) -> bytes:
+    """Features for counting: lengths and counts above 24 in steps of 8 up to 96, shares in sixteenths."""
+    x = np.array(features, np.float32)
+    x = np.where(x > 24, np.minimum(x // 8 * 8, 96), x)
+    x[_SHARES] = np.round(np.array(features, np.float32)[_SHARES] * 16) / 16
+    return x.astype("<f4").tobytes()
+
+
+def count_examples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """How often the ``examples`` of all documents have the same binned features: ``check, label, features, n``.
+
+    Every document and whole texts; a third of the ids is held for the check.  Equal examples are counted in the
+    batches first, so few rows are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for check, value in zip(batch.column("check").to_pylist(), batch.column("text")):
+                seen.update((check, label, _binned(features)) for features, label in examples(value.as_py()))
+            columns = [pa.array([key[c] for key in seen], kind) for c, kind in enumerate((pa.bool_(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(seen.values(), pa.int64())], ["check", "label", "features", "n"])
+
+    rows = narrow(docs, doc_id=doc_id, text=text).filter(F.col("text").rlike(_SOME_SQL))
+    held = rows.select((F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("check"), "text")
+    found = held.mapInArrow(run, "check boolean, label int, features binary, n long")
+    return found.groupBy("check", "label", "features").agg(F.sum("n").alias("n"))
+
+
+def fit_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", precision: float = 0.98) -> PersonalDataModel:
+    """Fits on the examples of all documents.
+
+    The tasks count them by binned features, and only these counts come to the driver: as many rows as there
+    are different bins, whatever the number of documents.  The model depends on the rows alone.
+    """
+    counted = count_examples(docs, text, doc_id).toArrow().sort_by([("features", "ascending"), ("label", "ascending"), ("check", "ascending")])
+    x = np.frombuffer(b"".join(counted["features"].to_pylist()), "<f4").reshape(-1, FEATURES).astype(float)
+    label, check, n = (counted[c].to_numpy() for c in ("label", "check", "n"))
+    return _fit_rows(x, label, check.astype(bool), n, precision)
+
+
 def fit_from_sample(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 3000, longest_chars: int = 20_000) -> PersonalDataModel:
     """Fits on at most ``sample_docs`` documents of at most ``longest_chars`` that have a digit or an @.
 

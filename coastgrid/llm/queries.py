@@ -87,7 +87,7 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    found = personal_data.find_personal_data(docs, personal_data.fit_from_sample(docs))
+    found = personal_data.find_personal_data(docs, personal_data.fit_documents(docs))
     counts = [f"n_{k}" for k in personal_data.KINDS]
     return found.select("doc_id", *counts, exact_dedup.sha256(F.col("base")).alias("base_sha256"), "spans")
 

@@ -46,7 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind."""
     ship_package(spark)
-    return _with_text(personal_data.redact_documents(docs, personal_data.fit_from_sample(docs)))
+    return _with_text(personal_data.redact_documents(docs, personal_data.fit_documents(docs)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from coastgrid.llm import byte_pairs, packing, personal_data, quality_rules, site_quality, tokens, toxicity
+from coastgrid.llm import byte_pairs, packing, personal_data, quality_rules, queries, site_quality, tokens, toxicity
 
 SF = "/root/testdata/sf0.01"
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -377,3 +377,31 @@ def test_parts_of_an_address_may_have_any_number_of_zeros(odd):
     found = personal_data.find_personal_data(docs, personal_data.fit_from_sample(docs)).orderBy("doc_id").collect()
     assert [r["n_ip"] for r in found] == [1, 1, 0, 0, 1]
     assert [r["text"] for r in personal_data.redact_documents(docs, personal_data.fit_from_sample(docs)).orderBy("doc_id").collect()][0] == "see <ip> now"
+
+
+def test_personal_data_learns_from_every_document(spark, tmp_path):
+    """Also from texts of any length: here all that teaches is in long ones."""
+    words = "so it goes on and on " * 1200
+    names = ["anna", "peter.berg", "maria_s", "j.olsen", "tom", "lena.w", "kari", "nils.h", "eva", "ole.m", "pia", "rolf.k"]
+    texts = [f"{words} write to {a}@{b}.com or {b}@{a}.org today" for a in names for b in ("firma", "posten", "havet")]
+    rows = [(n, t) for n, t in enumerate([*texts, "Please write to anna (at) firma.com today."])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["spans"] for r in queries.op9_personal_data(spark, str(tmp_path)).collect()}
+    assert found[len(texts)] == "email:16:35"
+
+
+def test_counted_examples_are_those_of_all_texts(spark):
+    texts = ["mail a.b@firma.de now", "mail a.b@firma.de now", "call +47 22 33 44 55 or 1.2.3.4", None, "", "nothing"]
+    counted = personal_data.count_examples(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert counted.agg(F.sum("n")).first()[0] == sum(len(list(personal_data.examples(t))) for t in texts if t)
+
+
+@pytest.fixture(scope="session")
+def whole_model(documents):
+    return personal_data.fit_documents(documents)
+
+
+@needs_tables
+@pytest.mark.parametrize(("kind", "inside"), [("email", "jürgen.müller@firma.de"), ("email", "anna (at) firma.de"), ("ip", "2001:db8:0:1:2:3:4:5"), ("card", "378282246310005"), ("phone", "(030) 123-4567"), ("phone", "004930123456")])
+def test_the_model_of_all_documents_selects_other_formats(whole_model, kind, inside):
+    assert redacted_by(whole_model, f"You can use {inside} for this.") == f"You can use <{kind}> for this."
