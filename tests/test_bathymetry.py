@@ -255,3 +255,13 @@ def test_small_tiles_share_a_call(spark):
     calls = bathy._per_tile(tiled, lambda rows: rows.assign(n=len(rows)).head(1)[["n"]], "n long", 5, 4).collect()
     assert [r.n for r in calls] == [tiled.count()]
     assert bathy._per_tile(tiled, lambda rows: rows.assign(n=len(rows)).head(1)[["n"]], "n long", 65, 0).count() == 12
+
+
+def test_a_domain_of_one_tile_takes_one_round(cells, matrix, monkeypatch):
+    """It is swept as often as over smaller tiles, without being written again."""
+    steep = [[-50.0 if (i + j) % 7 == 0 else -1.0 - i for j in range(9)] for i in range(12)]
+    tiled = matrix(bathy.limit_bottom_slope(cells(steep), 0.05, max_passes=4, passes_per_round=2, size=6))
+    written, keep = [], bathy.materialise
+    monkeypatch.setattr(bathy, "materialise", lambda df: (written.append(df.columns), keep(df))[1])
+    assert matrix(bathy.limit_bottom_slope(cells(steep), 0.05, max_passes=4, passes_per_round=2)) == tiled
+    assert sum("steepest" in columns for columns in written) == 1
