@@ -159,3 +159,18 @@ def test_tendency_regimes(spark):
     geometry = forcing.select("grid_id", "i", "j", "k", F.lit(6.0).alias("area_x"), F.lit(3.0).alias("area_y"), F.lit(2.0).alias("volume"))
     out = {r.i: r.tendency for r in relax.forcing_tendency(state, forcing, geometry).collect()}
     assert out == {0: 30.0, 1: 15.0, 2: 3.0, 3: 0.0, 4: 0.0, 5: 0.0}
+
+
+def test_times_of_a_forcing_are_computed_once(spark):
+    """Times come out of a whole forcing table, which the check and the result both need."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(ts):
+        seen.add(1)
+        return ts
+
+    forcing = spark.createDataFrame([("1995-01-01 00:00:00",)] * 6, "ts string").withColumn("ts", counted("ts").cast("timestamp_ntz"))
+    series = spark.createDataFrame([(1, "T", "1995-01-01 12:00:00", 2.0)], "river_id int, variable string, ts string, value double")
+    matched = rivers.match_series_by_date(forcing, series.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).collect()
+    assert len(matched) == 1 and seen.value == 6
