@@ -15,6 +15,8 @@ from coastgrid.llm.common import narrow
 BLANK_CHARS = " \t\x0b\f\r"
 #: Edits between nearly equal lines in the query and the pipeline: a two-digit year, or two letters of a word.
 EDITS = 2
+#: Lines that share a segment are compared pair by pair in groups of up to so many, and by their variants in larger ones.
+SMALL_GROUP = 32
 
 
 def _hashed(line: Column, tag: int) -> Column:
@@ -261,14 +263,32 @@ def near_lines(texts: DataFrame, edits: int = 1) -> DataFrame:
     return best.select("a.doc_id", "a.i", F.col("b.doc_id").alias("keep_doc"), F.col("b.i").alias("keep_line"))
 
 
-def _possible_partners(firsts: DataFrame) -> DataFrame:
-    """``h1`` of the lines that share a key of ``firsts`` (``h1, keys``) with another line.
+def _possible_pairs(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines that share a key of ``firsts`` (``h1, keys``): pairs ``a, b`` of ``h1``, and the ``h1`` of lines in large groups.
 
-    Keys are combined inside the tasks first; a hot one is split by the join.
+    Keys are combined inside the tasks first.  A key of two rows is a pair; only the others are looked up again
+    for their lines, and a hot one is split by that join.  Groups of up to ``SMALL_GROUP`` lines are paired, so
+    pairs grow with the rows; lines of larger groups are left to ``near_lines``.
     """
     keyed = firsts.select("h1", F.explode("keys").alias("key")).filter("key IS NOT NULL")
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("key")
-    return keyed.join(shared, "key", "left_semi").select("h1").distinct()
+    shared = materialise(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("n")).filter("a < b"))
+    crowded = materialise(shared.filter("n > 2").select("key"))
+    members = materialise(keyed.join(crowded, "key", "left_semi").distinct())
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    few = members.join(sizes.filter(F.col("n") <= SMALL_GROUP).select("key"), "key")
+    paired = few.withColumnRenamed("h1", "a").join(few.withColumnRenamed("h1", "b"), "key").filter("a < b")
+    pairs = shared.filter("n = 2").select("a", "b").unionByName(paired.select("a", "b"))
+    large = members.join(sizes.filter(F.col("n") > SMALL_GROUP).select("key"), "key").select("h1")
+    return materialise(pairs.distinct()), materialise(large.distinct())
+
+
+def _near_pairs(texts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+    """``doc_id, i``: the later line of each of ``pairs`` (``a, b``) whose ``texts`` (``doc_id, i, h1, line``) are within ``edits``."""
+    lined = lambda name: texts.select(
+        F.col("h1").alias(name), F.struct("doc_id", "i").alias(f"place_{name}"), F.col("line").alias(f"line_{name}")
+    )
+    met = pairs.join(lined("a"), "a").join(lined("b"), "b").filter(F.levenshtein("line_a", "line_b", edits).between(0, edits))
+    return met.select(F.greatest("place_a", "place_b").alias("later")).select("later.doc_id", "later.i").distinct()
 
 
 def repeated_lines(
@@ -281,8 +301,8 @@ def repeated_lines(
     document id, then a smaller line number, counted from 0.  Lines below ``min_chars`` stay;
     lines below ``near_chars`` are only compared for equality.  Both may be 1.
 
-    Near lines come from a deletion-neighbourhood join on hashed variants (``near_lines``).  Only lines take
-    part that share one of ``edits + 1`` segments, shifted by up to ``edits``, with another line;
+    Only lines that share one of ``edits + 1`` segments, shifted by up to ``edits``, can be near.  Where few share
+    one they are compared pair by pair, else by a deletion-neighbourhood join on hashed variants (``near_lines``);
     no pair within the bound is lost on the way.  Texts are read once for the hashes of all lines, which are
     written, and once more for the lines that may have a partner.  Equal lines are counted
     inside the tasks first, and the joins by line are plain equi-joins, which Spark splits for a hot line.
@@ -295,12 +315,18 @@ def repeated_lines(
     lines = materialise(
         firsts.groupBy("h1", "h2").agg(F.min_by("i", "doc_id").alias("i"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     )
-    wanted = lines.join(_possible_partners(firsts.filter("keys IS NOT NULL").select("h1", "keys")), "h1", "left_semi").select("doc_id", "i", "h1", "h2")
+    pairs, large = _possible_pairs(firsts.filter("keys IS NOT NULL").select("h1", "keys"))
+    partners = pairs.select(F.explode(F.array("a", "b")).alias("h1")).unionByName(large).distinct()
+    wanted = lines.join(partners, "h1", "left_semi").select("doc_id", "i", "h1", "h2")
     numbered = narrow(docs, doc_id=doc_id, text=text).join(materialise(wanted), "doc_id")
     told = numbered.select("doc_id", "i", "h1", "h2", F.btrim(F.get(F.split("text", "\n"), F.col("i")), F.lit(BLANK_CHARS)).alias("line"))
     # Of rows that share an id, the one that has the line there.
     told = told.filter((F.col("h1") == _hashed(F.col("line"), 1)) & (F.col("h2") == _hashed(F.col("line"), 2)))
-    near = near_lines(materialise(told.select("doc_id", "i", "line").distinct()), edits)
+    texts = materialise(told.select("doc_id", "i", "h1", "line").distinct())
+    near = _near_pairs(texts, pairs, edits)
+    if not large.isEmpty():
+        variants = near_lines(materialise(texts.join(large, "h1", "left_semi").select("doc_id", "i", "line")), edits)
+        near = near.unionByName(variants.select("doc_id", "i"))
     shared = lines.filter("n > 1").select("h1", "h2", F.col("doc_id").alias("keep_doc"))
     equal = firsts.select("doc_id", "h1", "h2", "i").join(shared, ["h1", "h2"]).filter("doc_id != keep_doc")
     inside = every.filter("again").select("doc_id", "i")

@@ -252,6 +252,34 @@ def test_lines_within_some_edits_equal_brute_force(table, edits):
     assert {r["doc_id"] for r in got if r["near_lines"]} == want and sum(r["equal_lines"] for r in got) == 0
 
 
+@pytest.mark.parametrize("small", [2, 6])
+def test_groups_paired_and_groups_by_variants_equal_brute_force(table, monkeypatch, small):
+    """Near lines in both kinds of group, and of lines that are in one of each."""
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", small)
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abcdefgh ") for _ in range(42)).strip() + "x" for _ in range(6)]
+    lines = []
+    for n in range(150):
+        line = pool[min(rng.randrange(12), 5)] if n % 3 else rng.choice(pool)
+        for _ in range(rng.randrange(5)):
+            at, kind = rng.randrange(len(line)), rng.randrange(3)
+            line = [line[:at] + line[at + 1 :], line[:at] + "q" + line[at:], line[:at] + "é" + line[at + 1 :]][kind]
+        lines.append(line)
+    lines = list(dict.fromkeys(lines))
+    want = {n for n, a in enumerate(lines) if any(edit_distance(a, b) <= 2 for b in lines[:n])}
+    got = line_dedup.drop_repeated_lines(table(lines), edits=2).collect()
+    assert {r["doc_id"] for r in got if r["near_lines"]} == want
+
+
+def test_pairs_of_near_lines_need_no_variants(table, monkeypatch):
+    """Groups of a few lines cost neither rounds nor variants, however many they are."""
+    monkeypatch.setattr(line_dedup, "near_lines", None)
+    rng = random.Random(22)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(40)) + "x" for _ in range(50)]
+    got = line_dedup.drop_repeated_lines(table(lines + [x[:20] + "q" + x[21:] for x in lines]), edits=2).collect()
+    assert sorted(r["doc_id"] for r in got if r["near_lines"]) == list(range(50, 100))
+
+
 def test_shortest_lines_may_be_compared_too(table):
     rng = random.Random(8)
     lines = list(dict.fromkeys("".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))) for _ in range(60)))
