@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,51 @@ def test_idw_against_brute_force(spark, domain, case):
         assert r.h == pytest.approx(_idw_brute(points, r.lon, r.lat), abs=1e-9), (r.i, r.j)
 
 
+@pytest.mark.parametrize("case", ["spread", "hot", "few", "apart"])
+def test_idw_over_tiles(spark, domain, case):
+    """A domain of many tiles next to one of a single tile: all cells, each with its own nearest soundings."""
+    rng = random.Random(case)
+    d = domain(26, 18, 10.0, 11.3, 59.0, 59.9).unionByName(domain(3, 2, 10.0, 10.15, 59.0, 59.1, grid_id=2)).unionByName(domain(2, 2, grid_id=3))
+    spread = [(rng.uniform(9.9, 11.4), rng.uniform(58.9, 60.0), -rng.uniform(1, 50)) for _ in range(500)]
+    points = {
+        "spread": spread,
+        "hot": spread[:30] + [(10.11 + rng.uniform(0, 0.01), 59.07 + rng.uniform(0, 0.01), -rng.uniform(1, 50)) for _ in range(900)],
+        "few": spread[:7],
+        "apart": [(10.02, 59.03, -3.0), (11.29, 59.88, -9.0), (12.5, 59.0, -4.0)],
+    }[case]
+    rows = [(g, *p) for g in (1, 2, 9) for p in points] + [(None, 10.0, 59.0, -1.0), (1, None, 59.0, -1.0), (1, float("nan"), 59.0, -1.0)]
+    df = spark.createDataFrame(rows, "grid_id int, lon double, lat double, h double")
+    out = soundings.idw_grid(df, d, radius=0.6, tile=4).collect()
+    assert sorted((r.grid_id, r.i, r.j) for r in out) == sorted((g, i, j) for g, nx, ny in ((1, 26, 18), (2, 3, 2), (3, 2, 2)) for i in range(1, nx + 1) for j in range(1, ny + 1))
+    for r in out:
+        expected = 0.0 if r.grid_id == 3 else _idw_brute(points, r.lon, r.lat, radius=0.6)
+        assert r.h == pytest.approx(expected, abs=1e-9), (r.grid_id, r.i, r.j)
+
+
+def test_idw_moves_soundings_once(spark, domain):
+    """Soundings are dealt out in one shuffle; no pair of a cell and a sounding is."""
+    df = spark.range(1000).selectExpr("CAST(1 AS INT) AS grid_id", "10 + id / 2000 AS lon", "59.5 AS lat", "-3e0 AS h")
+    plan = soundings.idw_grid(df, domain(20, 15))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "Join" not in plan and "Window" not in plan
+
+
+def test_idw_parts_of_soundings(monkeypatch):
+    """Soundings that pass a tile in parts leave the same nearest as all at once, equal distances by order."""
+    rng = np.random.default_rng(3)
+    lon, lat = np.sort(rng.integers(0, 12, 900) / 8), rng.integers(0, 12, 900) / 8
+    lat = lat[np.lexsort((lat, lon))]
+    h, given = -rng.random(900), rng.random(900) > 0.1
+    grid = {"nx": 3, "ny": 2, "west": 0.25, "east": 1.0, "south": 0.25, "north": 0.75, "rows": 1}
+
+    def heights(pairs):
+        monkeypatch.setattr(soundings, "IDW_PAIRS", pairs)
+        near = soundings._Nearest((1, 0, 0), grid, 32, 16, 0.5)
+        near.add(lon, lat, h, given)
+        return near.heights(2.0, 0.2, 1, 0.0).tolist()
+
+    assert heights(1) == heights(10**6)
+
+
 def test_contours_and_points(spark):
     part = [(20000.0 + 100 * n, 6610000.0 + 100 * n) for n in range(4)]
     lines = spark.createDataFrame([(42.0, [part, part[:1]]), (None, [part])], "depth double, geom array<array<struct<x double, y double>>>")
