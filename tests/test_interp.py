@@ -100,6 +100,31 @@ def _idw_brute(points, x, y, k=16, s2=0.04, radius=1.0):
     return sum(v * n[3] for v, n in zip(w, near)) / sum(w)
 
 
+def test_apply_weights_by_sets(spark):
+    """Targets that share their source cells or not, rows that come twice or are missing, nulls and weights of 0."""
+    weights = [("a", 1, 1, 1, 0.25), ("a", 1, 1, 2, 0.75), ("a", 2, 1, 1, 0.5), ("a", 2, 1, 2, 0.5), ("a", 3, 1, 2, 1.0), ("a", 3, 1, 9, 0.0),
+               ("b", 1, 2, 1, 0.5), ("b", 1, 1, 1, 0.5), ("b", 2, 1, 7, 1.0), (None, 1, 1, 1, 2.0), ("b", 3, None, 1, 1.0), ("b", 4, 1, 3, 1.0), ("b", 4, 1, 3, 1.0)]
+    values = [(1, 1, "x", 4.0), (1, 2, "x", 8.0), (1, 1, "y", 1.0), (1, 2, "y", None), (2, 1, "x", 6.0), (1, 3, "x", 5.0), (1, 3, "x", 5.0), (1, 9, "x", None), (None, 1, "x", 9.0)]
+    w = spark.createDataFrame(weights, "g string, t int, dataset int, i int, weight double")
+    v = spark.createDataFrame(values, "dataset int, i int, ts string, value double")
+    out = interp.apply_weights(v, w, ["dataset", "i"], ["ts"], ["g", "t"])
+    assert out.columns == ["ts", "g", "t", "value"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [("x", "a", 1, 7.0), ("y", "a", 1, None), ("x", "a", 2, 6.0), ("y", "a", 2, None), ("x", "a", 3, 8.0), ("y", "a", 3, None),
+         ("x", "b", 1, 5.0), ("y", "b", 1, 0.5), ("x", "b", 4, 20.0), ("x", None, 1, 8.0), ("y", None, 1, 2.0)], key=str
+    )
+
+
+def test_apply_weights_shuffles_no_products(spark):
+    """The targets' field, 40 times as many rows as targets, is not dealt out again."""
+    w = spark.range(300).selectExpr("id AS g", "id % 3 AS t", "id % 4 AS i", "5e-1 AS weight")
+    v = spark.range(160).selectExpr("id % 4 AS i", "id AS ts", "1e0 AS value")
+    out = interp.apply_weights(v, w, ["i"], ["ts"], ["g", "t"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Exchange ")]
+    assert "Aggregate" not in top.split("Join")[0] and out.count() == 300 * 40
+
+
 @pytest.mark.parametrize("case", ["spread", "hot", "coincident", "few", "far"])
 def test_idw_against_brute_force(spark, domain, case):
     """Uneven soundings: a dense spot, copies of one sounding, too few, or all outside."""
