@@ -150,6 +150,19 @@ def test_series_matching_errors(spark):
         rivers.match_outlets(spark.createDataFrame([(2,)], "river_id int"), series)
 
 
+def test_forcing_tendency_rows_that_repeat(spark):
+    """Each forcing row meets each of its states and geometries; keys that are null or on one side only meet nothing."""
+    key = "grid_id int, variable string, ts int, i int, j int, k int"
+    state = spark.createDataFrame([(1, "T", 1, 1, 1, 1, 3.0), (1, "T", 1, 1, 1, 1, 5.0), (1, "T", 2, 1, 1, 1, 9.0), (1, "u", 1, 1, 1, 1, 2.0), (1, "T", 1, 2, 1, 1, 1.0), (1, None, 1, 1, 1, 1, 1.0)], f"{key}, field double")
+    forcing = spark.createDataFrame([(1, "T", 1, 1, 1, 1, 1.0, 0.5), (1, "u", 1, 1, 1, 1, 4.0, 2.0), (1, "T", 3, 1, 1, 1, 1.0, 0.5), (1, "T", 1, 2, 1, 1, 1.0, 0.5), (1, None, 1, 1, 1, 1, 1.0, 0.5)], f"{key}, value double, lambda double")
+    geometry = spark.createDataFrame([(1, 1, 1, 1, 10.0, 5.0, 100.0), (1, 1, 1, 1, 20.0, 5.0, 100.0), (1, 1, 1, 2, 10.0, 5.0, 100.0)], "grid_id int, i int, j int, k int, area_x double, area_y double, volume double")
+    out = relax.forcing_tendency(state, forcing, geometry)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan  # each table is dealt out once
+    assert out.columns == ["grid_id", "variable", "ts", "i", "j", "k", "tendency"]
+    assert sorted((r.variable, r.ts, r.i, r.tendency) for r in out.collect()) == [("T", 1, 1, -2.0), ("T", 1, 1, -2.0), ("T", 1, 1, -1.0), ("T", 1, 1, -1.0), ("u", 1, 1, 0.4), ("u", 1, 1, 0.8)]
+
+
 def test_tendency_regimes(spark):
     lam = [2.0, -2.0, 0.5, 1.0, -1.0, 0.5]
     value = [10.0, 10.0, 10.0, 10.0, 10.0, None]
