@@ -199,6 +199,19 @@ def test_contours_and_points(spark):
     assert sorted(r.h for r in soundings.depth_points(points).collect()) == [-12.5, -5.0]
 
 
+def test_rasterize_moves_whole_numbers(spark, domain):
+    """A crossing is shuffled as its feature, its row and a count of cells; spans that end on centres keep their side."""
+    d = domain(8, 8, 0.0, 8.0, 0.0, 8.0)
+    ring = [(1.5, 1.5), (6.5, 1.5), (6.5, 4.5), (1.5, 4.5)]
+    far = [(-40.0, 5.2), (90.0, 5.2), (90.0, 6.8), (-40.0, 6.8)]
+    df = spark.createDataFrame([(1, 1, [ring]), (1, 2, [far])], "grid_id int, id int, geom array<array<struct<x double, y double>>>")
+    land = soundings.rasterize_land(soundings.polygon_edges(df), d)
+    assert {(r.i, r.j) for r in land.collect()} == {(i, j) for i in range(2, 7) for j in range(2, 5)} | {(i, j) for i in range(1, 9) for j in (6, 7)}
+    lines = land._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = next(n for n, line in enumerate(lines) if "Window [" in line) + 1
+    assert re.search(r"Project \[grid_id#\w+, id#\w+, j#\w+, CASE WHEN .* AS _c#\w+\]$", lines[below]), lines[below]
+
+
 def test_rasterize_even_odd(spark, domain):
     """A ring with a hole, a slanted triangle and a skerry on a 10 x 10 grid of 1 x 1."""
     d = domain(10, 10, 0.0, 10.0, 0.0, 10.0)
