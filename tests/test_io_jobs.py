@@ -301,3 +301,23 @@ def test_state_is_found_in_one_pass(spark, monkeypatch):
 
     out = checks.read_state(results.mapInArrow(counted, results.schema), d, ["T"], stamp).collect()
     assert [r.value for r in out] == [10.0, 10.0] and reads.value == 2 * 2
+
+
+def test_regridding_query_reads_written_inputs(spark, monkeypatch):
+    """The job reads its source and bathymetry many times: from the scratch folder, not from what they are made of."""
+    from driver_queries import interp as queries
+
+    source = spark.range(4).selectExpr("CAST(1 AS INT) AS dataset", "CAST('2020-01-01' AS timestamp_ntz) AS ts", "1 AS lev", "CAST(id AS INT) AS i", "1 AS j", "1e0 AS value")
+    cells = spark.range(3).selectExpr("CAST(1 AS INT) AS grid_id", "CAST(id AS INT) AS i", "-1e0 AS h")
+    for name, df in (("source_values", source), ("bathymetry", cells), ("domains", cells)):
+        monkeypatch.setattr(queries.fx, name, lambda *a, df=df: df)
+    asked = []
+
+    def regrid(source, bathymetry, domains, config, windows):
+        asked.extend([source.values(), bathymetry])
+        return spark.createDataFrame([(1, "T", "ccc", 1, 1, 1, 1, 1.0, 0.0)], "grid_id int, variable string, loc string, ts int, k int, j int, i int, value double, lambda double")
+
+    monkeypatch.setattr(queries, "regrid_forcing", regrid)
+    queries._regridded(spark, "nowhere", None)
+    assert [df.count() for df in asked] == [8, 3]
+    assert all(df.inputFiles() and all("/coastgrid/" in f for f in df.inputFiles()) for df in asked)
